@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, toxicity
+from . import langid, line_dedup, merkle, mixing, toxicity
 from .common import crc_mod, load
 
 
@@ -29,8 +29,23 @@ def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edits(merkle.with_next(load(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op4_line_dedup": op4_line_dedup,
+    "op8_mixing": op8_mixing,
+    "op9_merkle": op9_merkle,
     "op10_toxicity": op10_toxicity,
 }
 
