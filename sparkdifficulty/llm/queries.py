@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, merkle, mixing, toxicity
+from . import html_extract, langid, line_dedup, merkle, mixing, pii, sp_tokens, toxicity
 from .common import crc_mod, load
 
 
+#: The SentencePiece model that the queries encode with; a parameter of the operator.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     model = langid.train(docs, "text", "lang", ~F.col("held_out") & F.col("doc_id").isNotNull())
@@ -33,6 +38,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(load(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_tokens.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), PIECE_MODEL)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -44,6 +63,9 @@ def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_pii": op6_pii,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_mixing": op8_mixing,
     "op9_merkle": op9_merkle,
     "op10_toxicity": op10_toxicity,
