@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, line_dedup, merkle, mixing, ngram_join, pii, sp_tokens, toxicity
+from . import ann, html_extract, langid, line_dedup, merkle, mixing, ngram_join, pii, sp_tokens, toxicity
 from .common import crc_mod, load
 
 
@@ -34,6 +34,10 @@ def labelled(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_groups(load(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -66,6 +70,7 @@ def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_ngram_join": op3_ngram_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_html_extraction": op5_html_extraction,

@@ -139,16 +139,16 @@ def train(labelled: DataFrame, text: str, label: str, train_rows: int = TRAIN_RO
     return ToxicityModel(slot, weight, float(b))
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """docs without the text, with score double (0 to 1) and predicted int added last."""
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs (without the text unless keep_text) with score double (0 to 1) and predicted int added last."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS slots and FEATURES weights, whatever the corpus
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, at):
             s = shared.value.scores(b.column(at))
-            keep = [i for i in range(b.num_columns) if i != at]
+            keep = [i for i in range(b.num_columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*[b.schema.names[i] for i in keep], "score", "predicted"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text)
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if keep_text or c != text)
     return docs.mapInArrow(run, f"{schema}, score double, predicted int")
