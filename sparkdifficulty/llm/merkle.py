@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PIECE = 96
+PIECE = 24
 #: A leaf: text up to a sentence's or a line's end, or PIECE code points of it.
 LEAF = f"(?s)[^\\n.!?]{{0,{PIECE - 1}}}(?:[.!?]+ ?|\\n|[^\\n.!?])"
 #: Hex digits of a leaf's and a section's digest.

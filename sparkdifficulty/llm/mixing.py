@@ -57,7 +57,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, source, size, source_size, target, taken) of every document."""
     spark = docs.sparkSession
-    tape = materialize(docs.select(F.col(id_col).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).cast("string"))).alias("h")), "mix-sizes")
+    tape = materialize(docs.select(F.col(id_col).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))).alias("h")), "mix-sizes")
     per = tape.groupBy("src").agg(F.sum("size").alias("total"), F.count("*").alias("rows")).collect()  # a row for each source
     sizes = {r["src"]: r["total"] for r in per}
     goal = targets(sizes)

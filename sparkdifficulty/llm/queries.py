@@ -61,7 +61,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
 
 
 def op9_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP3 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [len(w) || ':' || array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: '4:' || array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM pair WHERE 100 * c >= 85 * (na + nb - c)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id FROM s
+"""
+
+_OP4 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents),
+f AS (SELECT doc_id, p, line FROM l WHERE regexp_matches(line, '[^ \t\x0B\f\r]')),
+w AS (SELECT doc_id, p, line, lead(p, 1) OVER d AS p2, lead(line, 1) OVER d AS line2, lead(p, 2) OVER d AS p3, lead(line, 2) OVER d AS line3 FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+again AS (SELECT * FROM w WHERE line3 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY line, line2, line3 ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([p, p2, p3]) AS p FROM again),
+kept AS (SELECT l.doc_id, count(g.p) AS n, string_agg(CASE WHEN g.p IS NULL THEN line END, chr(10) ORDER BY l.p) AS text FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.p = g.p GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text, coalesce(k.n, 0) AS n_lines_removed FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+_OP8 = r"""
+WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(doc_id || ':' || md5(coalesce(text, ''))) AS h FROM documents),
+p0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM t GROUP BY source),
+p1 AS (SELECT *, 1.0::DOUBLE + k % 3 AS w FROM p0),
+p2 AS (SELECT *, sum(source_size) OVER () AS total, 3.0 * source_size / w AS cap, row_number() OVER (ORDER BY 3.0 * source_size / w, k) AS j FROM p1 WHERE source_size > 0),
+p3 AS (SELECT *, (total - 3.0 * coalesce(sum(source_size) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM p2),
+lv AS (SELECT level FROM p3 WHERE level <= cap ORDER BY j LIMIT 1),
+p4 AS (SELECT p1.k, p1.source, p1.source_size, coalesce(least(p1.w * (SELECT level FROM lv), 3.0 * p1.source_size), 0)::DOUBLE AS target FROM p1),
+b AS (SELECT greatest(1, least(4096, floor(min(target) / 512)))::BIGINT AS block FROM p4 WHERE target > 0),
+p5 AS (SELECT p4.*, ((source_size + block - 1) // block)::BIGINT AS blocks FROM p4, b),
+p6 AS (SELECT *, CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0 END AS slots FROM p5),
+p7 AS (SELECT *, sum(slots / (SELECT sum(slots) FROM p6)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, max(k) FILTER (slots > 0) OVER () AS last FROM p6),
+p8 AS (SELECT *, CASE WHEN k = last THEN 2.0 ELSE upto END AS hi, coalesce(lag(upto) OVER (ORDER BY k), 0) AS lo FROM p7),
+i AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS x FROM range(0, (SELECT round(sum(slots))::BIGINT FROM p6)) r(i)),
+slot AS (SELECT k, blocks, row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS r FROM i JOIN p8 ON x >= lo AND x < hi AND slots > 0),
+uses AS (SELECT k, r % blocks AS block, count(*) AS uses FROM slot WHERE r < 3 * blocks GROUP BY ALL),
+tape AS (SELECT t.*, p5.k, p5.source_size, p5.blocks, p5.target, coalesce(sum(size) OVER (PARTITION BY p5.k ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS a FROM t JOIN p5 ON t.source IS NOT DISTINCT FROM p5.source),
+took AS (SELECT doc_id, sum((least(a + size, ((block + 1) * source_size) // tape.blocks) - greatest(a, (block * source_size) // tape.blocks)) * uses) AS taken FROM tape JOIN uses USING (k) WHERE (block * source_size) // tape.blocks < a + size AND ((block + 1) * source_size) // tape.blocks > a GROUP BY doc_id)
+SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target, coalesce(taken, 0)::BIGINT AS taken, source FROM tape LEFT JOIN took USING (doc_id)
+"""
+
+_LEAF = r"regexp_extract_all(%s, '[^\n.!?]{0,23}(?:[.!?]+ ?|\n|[^\n.!?])')"
+_LEAVES = f"list_transform({_LEAF}, lambda z: substr(md5(z), 1, 16))"
+_SECTIONS = "list_transform(list_filter(string_split(array_to_string(list_transform(%s, lambda z: z || CASE WHEN right(z, 1) IN ('0', '1') THEN '|' ELSE '' END), ''), '|'), lambda z: z <> ''), lambda z: substr(md5(z), 1, 16))"
+_PRINT = "md5(array_to_string({0}, '')) || ':' || array_to_string({0}, '')"
+_ALIKE = "CASE WHEN len(a) + len({0}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(list_distinct(a), list_distinct({0}))) / (len(list_distinct(a)) + len(list_distinct({0}))) END::DOUBLE"
+_OP9 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nxt FROM d),
+e AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nxt, 1, length(t) // 2) AS ed FROM n),
+v AS (SELECT doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, {_LEAVES % 't'} AS a, {_LEAVES % 'ed'} AS b, {_LEAVES % 'nxt'} AS c FROM e),
+s AS (SELECT *, {_SECTIONS % 'a'} AS sa, {_SECTIONS % 'b'} AS sb FROM v)
+SELECT doc_id, n_chars, edited_sha256, {_PRINT.format('sa')} AS fingerprint, {_PRINT.format('sb')} AS edited_fingerprint, {_ALIKE.format('b')} AS near_edited, {_ALIKE.format('c')} AS near_next FROM s
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": _OP3,
+    "op4_line_dedup": _OP4,
+    "op8_mixing": _OP8,
+    "op9_merkle": _OP9,
+}
