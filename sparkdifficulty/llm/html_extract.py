@@ -147,6 +147,8 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
+    if not found:
+        return np.zeros((0, len(FEATURES)))
     own = np.array([(b.words, min(1.0, b.linked / max(b.words, 1))) for b in found], dtype=float).reshape(-1, 2)
     edge = np.zeros((1, 2))
     return np.hstack([own, np.vstack([edge, own[:-1]]), np.vstack([own[1:], edge]), np.array([(b.container, b.heading) for b in found], dtype=float).reshape(-1, 2)])

@@ -61,7 +61,7 @@ class LangModel:
         at = [i for i, w in enumerate(words) if w]
         out = np.zeros((len(unique), len(self.langs)), dtype=np.float32)
         letters = np.zeros(len(unique), dtype=np.int64)
-        if not at:
+        if not at or not self.langs:
             return out, letters
         known = dict(_ascii)
         kept = [words[i] for i in at]
