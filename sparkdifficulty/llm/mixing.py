@@ -28,7 +28,7 @@ LEAST_SLOTS = 512
 #: Points of the schedule in a run that is ranked by one task.
 RUN = 8192
 #: Rows of a source in one hash range of its shuffle, roughly.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2000
 
 
 def n_words(text: Column) -> Column:
