@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Code points of one chunk of texts that a Python worker handles at once; a longer text is a chunk alone.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ from .common import chunks, materialize, mix64
 from .components import components
 
 #: Shingles of the texts that one task holds at once.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_000_000
 #: DivideSkip's constant for how many lists count as long (the authors' experiments: below 0.01).
 MU = 0.0085
 #: Bits of the fixed-size filter that tells which documents stand in a block.
