@@ -2,7 +2,9 @@
 
 Candidates: a document's set of shingles (64-bit hashes) is cut into as many fragments as two linked sets can differ
 in elements, and one more; linked sets then agree on a whole fragment (PartEnum, Arasu et al. 2006). Documents that
-share a fragment stand in one block, through links that grow only with the number of documents, not of pairs.
+share a fragment stand in one block, through links that grow only with the number of documents, not of pairs. Shingles
+that very many documents hold are left out of fragments (sets differ no more without them), so that a common passage
+does not tie documents together.
 
 Search: within a block every document is a query of T-occurrence search (DivideSkip, Li et al. 2008): an inverted index
 maps shingles to documents; the long lists of the query's shingles are set aside, the short ones are heap-merged, and
@@ -40,6 +42,9 @@ from .components import components
 BLOCK_SHINGLES = 1_000_000
 #: DivideSkip's constant for how many lists count as long (the authors' experiments: below 0.01).
 MU = 0.0085
+#: A shingle in so many documents of a chunk is a candidate for the hot ones; so many of those in most documents are broadcast.
+HOT_IN_CHUNK = 4
+HOT_MOST = 1 << 16
 #: Bits of the fixed-size filter that tells which documents stand in a block.
 FILTER_BITS = 24
 
@@ -100,29 +105,32 @@ class Fragments:
     def cut(self, band: int) -> tuple[int, int]:
         """(d, m): elements in which linked sets of band and band + 1 differ at most, and number of fragments."""
         d = (100 - self.percent) * (self.upper[band] + self.upper[band + 1]) // (100 + self.percent)
-        return d, d + 1 + (0 if d == 0 else 1 + d // 64)
+        return d, d + 1 + (0 if d == 0 else 1 + 2 * d // 5)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """A key for each fragment that isn't empty. Sets with so many empty fragments that they may agree on those alone
-        also have the keys of prefix filtering (their smallest hashes)."""
+    def keys(self, s: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
+        """A key for each fragment of two cold shingles or more (of one, where there is but one fragment). Sets with so many
+        smaller fragments that they may agree on those alone, as one shingle in common could do by chance, also have the keys of prefix filtering (their first shingles: cold before hot, then by hash)."""
         if not len(s):
             return np.zeros(0, np.uint64)
         own = int(np.searchsorted(self.upper_at, len(s)))
+        is_hot = np.zeros(len(s), bool) if hot is None or not len(hot) else hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+        cold = s[~is_hot]
         out = []
         with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
-            high = s >> np.uint64(32)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(cold ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
+            high = cold >> np.uint64(32)
             for band in (own - 1, own):
                 if band < 0:
                     continue
                 d, m = self.cut(band)
                 part = (high * np.uint64(m)) >> np.uint64(32)
                 at = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
-                full = np.flatnonzero(at[1:] > at[:-1])
+                full = np.flatnonzero(at[1:] >= at[:-1] + (2 if m > 1 else 1))
                 out.append(mix64(sums[at[full + 1]] - sums[at[full]] + mix64(full.astype(np.uint64) + np.uint64(band << 40))))
                 if m - len(full) >= m - d:
                     prefix = len(s) - -(-self.percent * len(s) // 100) + 1
-                    out.append(mix64(s[:prefix] + mix64(np.array([(band << 40) + (1 << 39)], dtype=np.uint64))))
+                    first = np.concatenate([cold, s[is_hot]])[:prefix]
+                    out.append(mix64(first + mix64(np.array([(band << 40) + (1 << 39)], dtype=np.uint64))))
         return np.concatenate(out)
 
 
@@ -248,17 +256,22 @@ def _measure(k: int):  # noqa: ANN202
         for b in chunks(batches, 1):
             sets = shingle_sets(b.column(1), k)
             marks = [set_hash(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], names=["id", "n", "h1", "h2"])
+            shingle, n = np.unique(np.concatenate(sets), return_counts=True)
+            often = n >= HOT_IN_CHUNK
+            shingle, n = shingle[often].view(np.int64), n[often]
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.nulls(b.num_rows, pa.int64())], names=["id", "n", "h1", "h2", "hot"])
+            yield pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, none, pa.array(shingle)], names=["id", "n", "h1", "h2", "hot"])
 
     return run
 
 
-def _postings(k: int, percent: int):  # noqa: ANN202
+def _postings(k: int, percent: int, hot):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Fragments(percent)
         for b in chunks(batches, 1):
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            keys = [cut.keys(s) for s in shingle_sets(b.column(1), k)]
+            keys = [cut.keys(s, hot.value) for s in shingle_sets(b.column(1), k)]
             doc = np.repeat(ids, [len(x) for x in keys])
             key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             order = np.lexsort((doc, key))
@@ -371,13 +384,16 @@ def _split_blocks(big: DataFrame, percent: int) -> DataFrame:
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) of every document; a component is what links of `percent` similarity reach."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sized = materialize(own.mapInArrow(_measure(k), "id long, n long, h1 long, h2 long"), "sets")
+    sized = materialize(own.mapInArrow(_measure(k), "id long, n long, h1 long, h2 long, hot long"), "sets")
+    often = sized.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_MOST).toArrow()  # at most HOT_MOST numbers
+    hot = docs.sparkSession.sparkContext.broadcast(np.sort(often.column("hot").to_numpy().astype(np.int64).view(np.uint64)))
+    sized = sized.where("hot is null").drop("hot")
     copies = sized.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("rep_n"))
     measured = materialize(sized.join(copies, ["h1", "h2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "copies")
 
     # candidate links between documents that share a fragment; copies count as their first
     filled = own.where("id is not null and text is not null")
-    posted = filled.mapInArrow(_postings(k, percent), "key long, doc long").repartition("key").sortWithinPartitions("key", "doc")
+    posted = filled.mapInArrow(_postings(k, percent, hot), "key long, doc long").repartition("key").sortWithinPartitions("key", "doc")
     near = materialize(posted.mapInArrow(_runs, "a long, b long").distinct(), "candidates")
     rep = measured.where("rep is not null").groupBy(F.col("id").alias("doc")).agg(F.min("rep").alias("rep"))
     of = near.join(rep.withColumnsRenamed({"doc": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"doc": "b", "rep": "rb"}), "b")

@@ -129,7 +129,8 @@ def test_fragments_find_every_link():
             t = np.unique(np.concatenate([s[drop:], rng.integers(0, 2**63, rng.integers(0, max(1, n // 12) + 1)).astype(np.uint64)]))
             both = len(np.intersect1d(s, t))
             if both and 100 * both >= 85 * (len(s) + len(t) - both):
-                assert np.intersect1d(cut.keys(s), cut.keys(t)).size
+                hot = np.sort(rng.choice(s, n // 2))
+                assert np.intersect1d(cut.keys(s), cut.keys(t)).size and np.intersect1d(cut.keys(s, hot), cut.keys(t, hot)).size
 
 
 def test_line_dedup(spark, odd, none):
