@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -59,9 +61,17 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers live on, and others need it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that one slice holds at most about `limit` bytes of text."""
     for b in batches:
+        give_back()
         if not b.num_rows:
             continue
         n = pc.fill_null(pc.binary_length(b.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -72,6 +82,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = CHUNK_C
             upto = max(upto, at + 1)
             yield b.slice(at, upto - at)
             at = upto
+    give_back()
 
 
 @dataclass

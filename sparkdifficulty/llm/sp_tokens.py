@@ -132,7 +132,7 @@ def build_tokenizer(m: PieceModel):  # noqa: ANN201
     if m.kind == BPE:
         mergeable = {p: i for i, (p, _, kind) in enumerate(m.pieces) if kind in (NORMAL, USER_DEFINED)}
         scores = {p: s for p, s, _ in m.pieces}
-        model = models.BPE(vocab, _merges(mergeable, scores), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=200_000)
+        model = models.BPE(vocab, _merges(mergeable, scores), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=20_000)
     elif m.kind == UNIGRAM:
         model = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
     else:
@@ -161,7 +161,7 @@ def build_tokenizer(m: PieceModel):  # noqa: ANN201
 
 
 #: Distinct words whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Stands between words while they are split; a text that holds it is encoded in one piece.
 CUT = "\x00"
 
