@@ -161,7 +161,7 @@ def build_tokenizer(m: PieceModel):  # noqa: ANN201
 
 
 #: Distinct words whose ids a worker remembers; beyond them it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 #: Stands between words while they are split; a text that holds it is encoded in one piece.
 CUT = "\x00"
 
