@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import char_grams, chunks, hash_fraction, letters_only, tokens
+from .common import CHUNK_CHARS, char_grams, chunks, hash_fraction, letters_only, materialize, tokens
 
 BITS = 18
 ORDERS = range(3, 7)
@@ -69,7 +69,7 @@ def present(texts: pa.Array, slot: np.ndarray | None) -> tuple[np.ndarray, np.nd
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << BITS), dtype=np.int64)
-    for b in chunks(batches, 0):
+    for b in chunks(batches, 0, CHUNK_CHARS // 4):  # all buckets of a text, not just the model's
         label = np.array(b.column(1).to_pylist(), dtype=np.int64)
         doc, bucket = present(b.column(0), None)
         for y in (0, 1):
@@ -100,13 +100,37 @@ def fit_logistic(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.
 def train(labelled: DataFrame, text: str, label: str, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> ToxicityModel:
     """Fit on a repeatable sample of labelled rows (label 0 or 1), at most about train_rows of each class."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
-    size = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    share = _shares(rows, train_rows)
+    return fit(rows.where(_drawn("t", share)), share, features)
+
+
+def train_by_id(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> ToxicityModel:
+    """As train, with the labels in a table of their own. An id labelled twice counts once, as 1 if any of its labels is 1;
+    of texts of one id the greatest counts. Ids are drawn before texts are read, so only the sample's texts are moved."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
+    share = _shares(rows, train_rows)
+    drawn = rows.where(_drawn("id", share))  # about 2 * train_rows ids and labels at most, whatever the corpus
+    texts = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("t"))
+    sample = texts.join(F.broadcast(drawn), "id").groupBy("id").agg(F.max("t").alias("t"), F.max("y").alias("y"))
+    return fit(materialize(sample.select("t", "y"), "toxicity-sample"), share, features)
+
+
+def _shares(rows: DataFrame, train_rows: int) -> dict[int, float]:
+    """The share of each class's rows (column y) that is drawn."""
+    return {r["y"]: min(1.0, train_rows / r["count"]) for r in rows.groupBy("y").count().collect()}
+
+
+def _drawn(by: str, share: dict[int, float]) -> Column:
+    return hash_fraction(by) < F.when(F.col("y") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0)))
+
+
+def fit(sample: DataFrame, share: dict[int, float], features: int = FEATURES) -> ToxicityModel:
+    """The model of a sample (t, y); share holds the sampled share of each class."""
+    size = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     none = np.full(1 << BITS, -1, dtype=np.int32)
     if len(size) < 2:
         only = next(iter(size), 0)
         return ToxicityModel(none, np.zeros(0), 30.0 if only == 1 else -30.0)
-    share = {y: min(1.0, train_rows / size[y]) for y in (0, 1)}
-    sample = rows.where(hash_fraction("t") < F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0])))
     counts = sample.mapInArrow(_count, "at int, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     n0, n1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
     n0[counts["at"]], n1[counts["at"]] = counts["n0"], counts["n1"]
@@ -118,7 +142,7 @@ def train(labelled: DataFrame, text: str, label: str, train_rows: int = TRAIN_RO
     slot = none.copy()
     slot[top] = np.arange(len(top))
     if not len(top):
-        return ToxicityModel(none, np.zeros(0), float(np.log(size[1] / size[0])))
+        return ToxicityModel(none, np.zeros(0), float(np.log(size[1] / share[1]) - np.log(size[0] / share[0])))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 0):

@@ -226,3 +226,19 @@ def test_toxicity(spark, odd, none):
     assert len(out) == 7 and all(0 <= r["score"] <= 1 for r in out)
     nothing = toxicity.train(labelled.limit(0), "text", "toxic")
     assert toxicity.score(none, nothing).count() == 0 and toxicity.score(odd, nothing).where("predicted = 1").count() == 0
+
+
+def test_toxicity_labels_in_a_table_of_their_own(spark, none):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 40) + (" you wretched moron" if i % 4 == 0 else ""), "en", "a") for i in range(160)]
+    docs = table(spark, [*rows, *rows[:40], (None, "moron", None, None), (900, None, None, None)])  # repeated ids, nulls
+    marks = [(i, 9, int(i % 4 == 0)) for i in range(160)]
+    labels = spark.createDataFrame([*marks, (0, 9, 0), (None, 9, 1), (900, 9, 1), (7, 9, None), (5000, 9, 1)], "doc_id long, text int, toxic int")
+    model = toxicity.train_by_id(docs, labels)
+    got = toxicity.score(docs.where("doc_id < 160").select("doc_id", "text"), model).collect()
+    assert len(got) == 200 and sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got) >= 198
+    few = toxicity.train_by_id(docs, labels, train_rows=30)
+    got = toxicity.score(docs.where("doc_id < 160").select("doc_id", "text"), few).collect()
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got) >= 190
+    for nothing in (toxicity.train_by_id(none, labels), toxicity.train_by_id(docs, labels.limit(0)), toxicity.train_by_id(docs, labels.where("toxic = 0"))):
+        assert toxicity.score(docs, nothing).where("predicted = 1").count() == 0
