@@ -15,7 +15,7 @@ from sparkdifficulty.llm.common import hash_fraction, load, materialize
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5."""
-    model = toxicity.train(queries.labelled(spark, sf_dir, docs), "text", "toxic")
+    model = toxicity.train_by_id(docs, queries.learnable(spark, sf_dir))
     return toxicity.score(docs, model, keep_text=True).where("predicted = 0").select(*docs.columns)
 
 
