@@ -35,11 +35,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, outlives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, outlives lost executors.
+
+    The shuffle files behind df aren't needed any more then. Spark's cleaner removes those of unreachable plans when
+    the driver's JVM collects garbage, so ask for that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.java.lang.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table.materialized_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads."""
+    for t in tables:
+        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.materialized_at)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def crc_mod(id_col: str | Column, m: int) -> Column:

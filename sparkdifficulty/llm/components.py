@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: neighbours below a node, and the node, go to the smallest of them
         low = up.groupBy("a").agg(F.min("b").alias("m"))
         down = up.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        now = materialize(down, "small-star")
+        old, now = now, materialize(down, "small-star")
+        discard(old, up)
         before, mark = mark, _mark(now)
         if mark == before:
             break

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, mix64
+from .common import chunks, discard, materialize, mix64
 from .components import components
 
 #: Shingles of the texts that one task holds at once.
@@ -378,18 +378,21 @@ def _split_blocks(big: DataFrame, percent: int) -> DataFrame:
     queries = outside.withColumnRenamed("part", "from_part").join(parts, "block").where("part <> from_part").select("block", "part", "from_part", "doc", "s", "root", "query")
     rows = known.join(asked, "block").where("part <> from_part").select("block", "part", "from_part", "doc", "s", "root", F.lit(False).alias("query"))
     found = queries.union(rows).repartition("block", "part", "from_part").sortWithinPartitions("block", "part", "from_part").mapInArrow(_across(percent), "a long, b long")
-    return found.union(hubs.select(F.col("top").alias("a"), F.col("hub").alias("b")))
+    links = materialize(found.union(hubs.select(F.col("top").alias("a"), F.col("hub").alias("b"))), "across")
+    discard(hubs, known)
+    return links
 
 
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) of every document; a component is what links of `percent` similarity reach."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    sized = materialize(own.mapInArrow(_measure(k), "id long, n long, h1 long, h2 long, hot long"), "sets")
-    often = sized.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_MOST).toArrow()  # at most HOT_MOST numbers
+    counted = materialize(own.mapInArrow(_measure(k), "id long, n long, h1 long, h2 long, hot long"), "sets")
+    often = counted.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_MOST).toArrow()  # at most HOT_MOST numbers
     hot = docs.sparkSession.sparkContext.broadcast(np.sort(often.column("hot").to_numpy().astype(np.int64).view(np.uint64)))
-    sized = sized.where("hot is null").drop("hot")
+    sized = counted.where("hot is null").drop("hot")
     copies = sized.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("rep_n"))
     measured = materialize(sized.join(copies, ["h1", "h2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "copies")
+    discard(counted)
 
     # candidate links between documents that share a fragment; copies count as their first
     filled = own.where("id is not null and text is not null")
@@ -398,6 +401,7 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     rep = measured.where("rep is not null").groupBy(F.col("id").alias("doc")).agg(F.min("rep").alias("rep"))
     of = near.join(rep.withColumnsRenamed({"doc": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"doc": "b", "rep": "rb"}), "b")
     blocks = components(of.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    discard(near)
     n_of = measured.where("rep = id").groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n"))
     member = blocks.join(n_of, "node")
     weigh = member.groupBy("root").agg((F.floor(F.sum("n") / block_shingles) + 1).alias("parts"))
@@ -429,7 +433,10 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     found = materialize(found.groupBy("doc").agg(F.min("root").alias("root")), "groups")
     if big_blocks:
         cut = known.where("parts > 1").join(found, "doc").select("block", "part", "doc", "s", "root")
-        more = components(_split_blocks(cut, percent)).withColumnRenamed("root", "top")
+        across = _split_blocks(cut, percent)
+        discard(known)
+        more = components(across).withColumnRenamed("root", "top")
+        discard(across)
         found = found.join(more, F.col("root") == F.col("node"), "left").select("doc", F.coalesce("top", "root").alias("root"))
     out = measured.join(found.withColumnRenamed("doc", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
