@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialize, mix64
+from .common import chunks, discard, give_back, materialize, mix64
 from .components import components
 
 #: Shingles of the texts that one task holds at once.
@@ -198,11 +198,20 @@ def _bounds(percent: int, sizes: list[int]):  # noqa: ANN202
     return least, needed, near
 
 
+def _shared(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The shingles of each set that another of the sets holds too: only those make overlaps."""
+    _, code, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    kept = n[code] > 1
+    ends = np.cumsum([len(s) for s in sets])
+    return [s[kept[e - len(s) : e]] for s, e in zip(sets, ends, strict=True)]
+
+
 def link_block(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
     """For each document the smallest id of its group, the groups being those of all links among the given ones."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    own = [sets[i].tolist() for i in order]
-    least, needed, near = _bounds(percent, [len(x) for x in own])
+    shared = _shared(sets)
+    own = [shared[i].tolist() for i in order]
+    least, needed, near = _bounds(percent, [len(sets[i]) for i in order])
     groups, leaders, members = Union(len(ids)), Index(), 0
     same: dict[int, int] = {}
     for i, at in enumerate(order):
@@ -218,6 +227,7 @@ def link_block(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int
     main = groups.find(main)
     outside = [i for i in range(len(ids)) if groups.find(i) != main]
     if outside and members:
+        del leaders
         everyone = Index()
         for i, x in enumerate(own):
             everyone.add(i, x)
@@ -343,7 +353,10 @@ def _in_blocks(percent: int):  # noqa: ANN202
         for _, held in _grouped(batches, 2):
             own = _column(held, "doc")
             ids += own
-            roots += link_block(own, _sets(held), percent)
+            sets = _sets(held)
+            roots += link_block(own, sets, percent)
+            if sum(map(len, sets)) > BLOCK_SHINGLES // 8:
+                give_back()
             if len(ids) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["doc", "root"])
                 ids, roots = [], []
