@@ -2,12 +2,13 @@
 
 The base finds emails, IP addresses, card and phone numbers. Every value found is a protected entity. The corpus then
 tells how strongly a term reveals an entity near which it stands: their pointwise mutual information, as a share of the
-entity's information content. Terms of at least MIN_TEXTS different texts whose share reaches GENERALISE are to be
-generalised, those that reach REMOVE to be removed (information-theoretic sanitisation, Sanchez and Batet 2013).
+entity's information content. Terms whose share reaches GENERALISE are to be generalised, those that reach REMOVE to be
+removed (information-theoretic sanitisation, Sanchez and Batet 2013). There is no least number of texts: an entity of
+one text is disclosed by the terms that stand in few other texts.
 
 Cases: a null text is as an empty one: no spans. Rows are kept one for one, repeated rows and null ids included; copies
-of one text support a term once. Whole texts are searched, in time linear in their length. Columns beside id and text
-are ignored.
+of a text count as texts on both sides of the share. Whole texts are searched, in time linear in their length. Columns
+beside id and text are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,7 @@ KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
 #: A term is a word of so many letters at least, and stands near an entity within so many code points.
 TERM_LETTERS = 4
 NEAR = 100
-#: Different texts in which a term must stand near an entity, and shares of the entity's information disclosed.
-MIN_TEXTS = 3
+#: Shares of the entity's information disclosed.
 GENERALISE = 0.8
 REMOVE = 0.95
 #: Buckets of the bitmap of terms whose frequency is counted.
@@ -113,21 +113,21 @@ _NEAR = "array<struct<entity:string,term:string,at:int,upto:int>>"
 
 
 def find_base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, th, base, near): each text's hash, base spans, and terms near them."""
-    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
+    """(id, base, near): each text's base spans, and terms near them."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     span = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("upto", pa.int32())])
     close = pa.struct([("entity", pa.string()), ("term", pa.string()), ("at", pa.int32()), ("upto", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 2):
+        for b in chunks(batches, 1):
             found, near = [], []
-            for t in b.column(2).to_pylist():
+            for t in b.column(1).to_pylist():
                 spans = base_spans(t) if t else []
                 found.append([{"at": x, "kind": k, "upto": y} for x, k, y in spans])
                 near.append([{"entity": e, "term": w, "at": x, "upto": y} for e, w, x, y in terms_near(t, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(span)), pa.array(near, pa.list_(close))], names=["id", "th", "base", "near"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(span)), pa.array(near, pa.list_(close))], names=["id", "base", "near"])
 
-    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, th long, base {_FOUND}, near {_NEAR}")
+    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, base {_FOUND}, near {_NEAR}")
 
 
 def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
@@ -168,10 +168,8 @@ def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str, n_docs: int) -> DataFrame:
     """(entity, term, share): the pairs that reach GENERALISE, with the share of the entity's information disclosed."""
-    pairs = found.select("rid", "th", F.explode("near").alias("x")).select("rid", "th", "x.entity", "x.term").distinct()
-    # copies of a text count once as support; partial sums come before each shuffle
-    joint = pairs.groupBy("entity", "term", "th").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("texts")).where(F.col("texts") >= MIN_TEXTS)
-    joint = materialize(joint, "pii-joint")
+    pairs = found.select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term").distinct()
+    joint = materialize(pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")), "pii-joint")
     per_entity = found.select("rid", F.explode("near").alias("x")).select("rid", "x.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     df = term_frequency(docs, text, joint.select("term").distinct())
     known = joint.join(df, "term").join(per_entity, "entity")

@@ -172,6 +172,14 @@ def test_pii(spark, odd, none):
     assert pii.find(odd).count() == 7 and pii.find(none).count() == 0
 
 
+def test_pii_entity_of_one_text(spark):
+    rows = [(i, f"plain words number {i} about nothing at all", "", "") for i in range(40)]
+    rows.append((100, "plain words about zanzibar from spy@nest.org", "", ""))
+    found = {r["doc_id"]: r["spans"] for r in pii.find(table(spark, rows)).collect()}
+    assert {(rows[40][1][s["at"] : s["upto"]], pii.KINDS[s["kind"]]) for s in found[100]} == {("zanzibar", "remove"), ("from", "remove"), ("spy@nest.org", "email")}
+    assert not any(found[i] for i in range(40))
+
+
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
