@@ -1,6 +1,7 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a neighbour graph, queries search it greedily.
 
-Equal vectors are one node. Nodes first get neighbours from cells around pivots. Then neighbours of neighbours meet:
+Equal vectors are one node. Nodes first get neighbours from cells around pivots; a cell of too many rows is split
+around pivots of its own, again and again. Then neighbours of neighbours meet:
 every node's neighbourhood (its neighbours and the best of those that have it as a neighbour) is compared within
 itself, and a pair that beats a node's worst neighbour replaces it (NN-descent, Dong et al. 2011); rounds of Spark
 joins go on until few neighbours change. A query expands the best unexpanded candidates of its beam, join by join,
@@ -20,24 +21,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, mix64
 from .ngram_join import _grouped
 
 #: Neighbours of a node in the graph, reverse neighbours it meets, and the beam of a search.
 DEGREE = 40
 REVERSE = 40
 BEAM = 120
-#: Candidates that a search expands in a step, and steps at most.
+#: Candidates that a search expands in a step.
 EXPAND = 30
-STEPS = 4
-#: Rounds of NN-descent at most, and the share of changed neighbours below which they end.
-ROUNDS = 3
+#: The share of changed neighbours below which rounds of NN-descent end.
 SETTLED = 0.005
 #: Rounds of cells, pivots at most (their vectors are broadcast), rows of a cell for each pivot, and rows of a cell at most.
 CELLINGS = 4
 PIVOTS = 2048
 CELL_ROWS = 400
 CELL_MOST = 2500
+#: Pivots at most that split a cell of more rows.
+SPLIT = 16
 
 
 def valid(vector: Column) -> Column:
@@ -85,9 +86,48 @@ def _cells(pivots: np.ndarray, celling: int):  # noqa: ANN202
     return run
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (cell, part, seed, node, x), a cell's seeds in each part: each node to the cell of its nearest seed (by angle)."""
+    for (cell, _), held in _grouped(batches, 2):
+        seed, nodes, x = _flat(held, 2), _flat(held, 3), _stack(held, 4)
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        order = np.argsort(nodes[seed])
+        pivots, unit, nodes = unit[seed][order], unit[~seed], nodes[~seed]
+        if not len(nodes):
+            continue
+        sim = unit @ pivots.T
+        # vectors of one direction are as near to several seeds: they are dealt out among these, or the cell would stay whole
+        tied = sim >= sim.max(axis=1, keepdims=True) - 1e-9
+        pick = mix64(nodes.astype(np.uint64) ^ mix64(np.array([cell]).astype(np.uint64))) % tied.sum(axis=1).astype(np.uint64)
+        child = (tied.cumsum(axis=1) > pick[:, None].astype(np.int64)).argmax(axis=1)
+        to = mix64(mix64(np.array([cell]).astype(np.uint64)) + child.astype(np.uint64)).astype(np.int64)
+        rows = pa.Table.from_batches(held).combine_chunks().filter(pa.array(~seed))
+        yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(nodes), rows.column(4).combine_chunks()], names=["cell", "node", "x"])
+
+
+def cells(dealt: DataFrame) -> DataFrame:
+    """dealt is (cell, node, x); cells of more than CELL_MOST rows are split by pivots until none is left."""
+    fit = None
+    while True:
+        size = dealt.groupBy("cell").agg(F.count("*").alias("n"))
+        sized = dealt.join(F.broadcast(size), "cell")  # a row for each cell
+        own = sized.where(F.col("n") <= CELL_MOST).select("cell", "node", "x")
+        fit = own if fit is None else fit.union(own)
+        if not size.where(F.col("n") > CELL_MOST).limit(1).count():
+            return fit
+        big = materialize(sized.where(F.col("n") > CELL_MOST).withColumn("parts", F.floor(F.col("n") / CELL_MOST) + 1), "cells")
+        w = Window.partitionBy("cell").orderBy(F.xxhash64("node", "cell"), "node")
+        seeds = big.withColumn("r", F.row_number().over(w)).where(F.col("r") <= SPLIT).where(F.col("r") <= F.greatest(F.lit(2), F.ceil(F.col("n") / CELL_ROWS)))
+        seeds = seeds.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.lit(True).alias("seed"), F.col("r").cast("long").alias("node"), "x")
+        # parts only share out the work: each has all of the cell's seeds
+        rows = big.select("cell", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long").alias("part"), F.lit(False).alias("seed"), "node", "x")
+        dealt = materialize(rows.union(seeds).repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_split, f"cell long, node long, x {dict(big.dtypes)['x']}"), "cells")
+        discard(big)
+
+
 def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, held in _grouped(batches, 2):
-        nodes, x = _flat(held, 2), _stack(held, 3)
+    for _, held in _grouped(batches, 1):
+        nodes, x = _flat(held, 1), _stack(held, 2)
         sim = x @ x.T
         np.fill_diagonal(sim, -np.inf)
         k = min(DEGREE, len(nodes) - 1)
@@ -161,19 +201,18 @@ def _merged(links: DataFrame, k: int) -> DataFrame:
 def build_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
     """(u, v, sim): each node's neighbours; nodes is (node, x)."""
     n = nodes.count()
-    links = None
+    dealt = None
     for i in range(CELLINGS):
         few = nodes.orderBy(F.xxhash64("node", F.lit(i)), "node").limit(max(1, min(PIVOTS, n // CELL_ROWS))).select("x").toArrow()  # at most PIVOTS vectors
         pivots = np.array(few.column("x").to_pylist(), dtype=np.float64)
         if not len(pivots):
             return nodes.select(F.col("node").alias("u"), F.array().cast("array<bigint>").alias("v"), F.array().cast("array<double>").alias("sim"))
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
-        dealt = nodes.mapInArrow(_cells(pivots, i), f"cell long, node long, x {dict(nodes.dtypes)['x']}")
-        size = dealt.groupBy("cell").agg((F.floor(F.count("*") / CELL_MOST) + 1).alias("parts"))  # a row for each pivot
-        found = dealt.join(F.broadcast(size), "cell").select("cell", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", "x").repartition("cell", "part").sortWithinPartitions("cell", "part").mapInArrow(_in_cells, _LINKS)
-        links = found if links is None else links.union(found)
+        near = nodes.mapInArrow(_cells(pivots, i), f"cell long, node long, x {dict(nodes.dtypes)['x']}")
+        dealt = near if dealt is None else dealt.union(near)
+    links = cells(dealt).repartition("cell").sortWithinPartitions("cell").mapInArrow(_in_cells, _LINKS)
     graph = materialize(_merged(links.withColumn("old", F.lit(False)), degree).drop("new"), "graph")
-    for _ in range(ROUNDS):
+    while True:  # every change betters a node's neighbours, so it ends
         edge = graph.select("u", F.explode(F.arrays_zip("v", "sim")).alias("e")).select("u", "e.v", "e.sim")
         w = Window.partitionBy("w").orderBy(F.desc("sim"), "m")
         back = edge.select(F.col("v").alias("w"), F.col("u").alias("m"), "sim").withColumn("r", F.row_number().over(w)).where(F.col("r") <= REVERSE).select("w", "m")
@@ -184,17 +223,18 @@ def build_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
         both = graph.withColumn("old", F.lit(True)).union(met.withColumn("old", F.lit(False)))
         after = materialize(_merged(both, degree), "graph")
         changed = after.agg(F.sum("new")).first()[0] or 0
+        discard(graph)
         graph = after.drop("new")
+        graph.materialized_at = after.materialized_at
         if changed <= SETTLED * degree * n:
-            break
-    return graph
+            return graph
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     """(u, v, sim): the beam of each query node u after greedy search; queries is (u), nodes of the graph."""
     q = queries.select("u").distinct().join(nodes.withColumnRenamed("node", "u"), "u")
     state = materialize(graph.join(queries.select("u").distinct(), "u", "left_semi").withColumn("done", F.array().cast("array<bigint>")), "beam")
-    for _ in range(STEPS):
+    while True:  # every step expands nodes that it hasn't expanded before, so it ends
         todo = state.withColumn("next", F.slice(F.array_except("v", "done"), 1, EXPAND))
         step = todo.select("u", F.explode("next").alias("c"))
         via = graph.select(F.col("u").alias("c"), F.col("v").alias("more"))
@@ -206,10 +246,11 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = B
         marked = todo.select("u", "v", "sim", F.array_union("done", "next").alias("done")).join(scored, "u", "left")
         everything = F.concat(F.zip_with("sim", "v", lambda s, c: F.struct((-s).alias("s"), c.alias("c"))), F.coalesce(F.transform("got", lambda g: F.struct((-g["s"]).alias("s"), g["c"].alias("c"))), F.array().cast("array<struct<s:double,c:bigint>>")))
         kept = marked.withColumn("best", F.slice(F.array_sort(everything), 1, beam))
-        state = materialize(kept.select("u", F.transform("best", lambda g: g["c"]).alias("v"), F.transform("best", lambda g: -g["s"]).alias("sim"), "done"), "beam")
+        after = materialize(kept.select("u", F.transform("best", lambda g: g["c"]).alias("v"), F.transform("best", lambda g: -g["s"]).alias("sim"), "done"), "beam")
+        discard(state)
+        state = after
         if not state.where(F.size(F.array_except("v", "done")) > 0).limit(1).count():
-            break
-    return state.select("u", "v", "sim")
+            return state.select("u", "v", "sim")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -80,6 +80,22 @@ def test_neighbours(spark):
     assert ann.nearest(few.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_skewed_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PIVOTS", 1)
+    monkeypatch.setattr(ann, "CELL_MOST", 100)
+    monkeypatch.setattr(ann, "CELL_ROWS", 50)
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1500, 12))
+    x[:1000] = x[0] + 0.2 * x[:1000]  # two thirds in one direction
+    x[1000:1200] = x[1000] * np.linspace(1, 2, 200)[:, None]  # parallel vectors
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), F.col("vec_id") % 30 == 0).collect()
+    sims, hit = x @ x.T, 0
+    for q in range(0, 1500, 30):
+        order = [j for j in np.lexsort((np.arange(1500), -sims[q])) if j != q][:20]
+        hit += len(set(order) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hit >= 0.9 * 20 * 50
+
+
 def near_groups(rows, k, percent):
     sets = {}
     for i, t, *_ in rows:
