@@ -77,6 +77,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, int]] = []
+    places: dict[str, list[int]] = {}  # of each tag's open elements on the stack
     inside, silent, links, heading = NEUTRAL, 0, 0, 0
 
     def flush() -> None:
@@ -93,6 +94,7 @@ def blocks(page: str) -> list[Block]:
         while len(stack) > upto:
             tag, before = stack.pop()
             inside = before
+            places[tag].pop()
             silent -= tag in SILENT_TAGS
             links -= tag == "a"
             heading -= tag in _headings
@@ -120,9 +122,8 @@ def blocks(page: str) -> list[Block]:
         if is_block:
             flush()
         if m[1]:
-            open_at = next((i for i in range(len(stack) - 1, max(len(stack) - 64, 0) - 1, -1) if stack[i][0] == tag), -1)
-            if open_at >= 0:
-                close(open_at)
+            if places.get(tag):
+                close(places[tag][-1])
             continue
         if m[3].endswith("/") and not is_block:
             continue
@@ -133,6 +134,7 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i][0] in BLOCK_TAGS and stack[i][0] != "p":
                     break
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, inside))
         inside = container_of(tag, m[3], inside)
         silent += tag in SILENT_TAGS

@@ -170,6 +170,14 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("open_tag", ["<nav>", "<div class=comments>"])
+def test_html_closes_containers_over_many_open_tags(open_tag):
+    words = "a long enough sentence that belongs to the article of this page"
+    page = f"<body>{open_tag}" + "<font><b>x " * 5000 + f"</{re.findall('[a-z]+', open_tag)[0]}><article><p>{words}</p></article>"
+    found = html_extract.blocks(page)
+    assert [b.text for b in found if b.container == html_extract.ARTICLE] == [words]
+
+
 def test_pii(spark, odd, none):
     texts = ["mail a.b@c.de, x@y, 1.2.3.4 999.1.1.1 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 and 4111 1111 1111 1112", "call +49 (30) 1234-5678 or +1 2", "@@a@b.c@d.e f@g.h.", "1" * 4000 + "." + "%" * 4000 + "@x.y"]
     for t in texts:
