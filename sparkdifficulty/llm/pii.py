@@ -1,8 +1,9 @@
 """Personal data: fixed patterns, and terms whose co-occurrence with protected values discloses them.
 
 The base finds emails, IP addresses, card and phone numbers. Every value found is a protected entity. The corpus then
-tells how strongly a term reveals an entity near which it stands: their pointwise mutual information, as a share of the
-entity's information content. Terms whose share reaches GENERALISE are to be generalised, those that reach REMOVE to be
+tells how strongly a term reveals an entity in whose texts it stands: their pointwise mutual information, as a share of
+the entity's information content. Whole texts count on both sides, without their base spans, and every occurrence of
+such a term in the texts that print the entity is a span; texts that don't print it get none. Terms whose share reaches GENERALISE are to be generalised, those that reach REMOVE to be
 removed (information-theoretic sanitisation, Sanchez and Batet 2013). There is no least number of texts: an entity of
 one text is disclosed by the terms that stand in few other texts.
 
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,8 @@ from .common import chunks, letters_only, materialize, tokens
 
 #: The kinds in the order in which spans of one start are listed; the last two are the method's.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-#: A term is a word of so many letters at least, and stands near an entity within so many code points.
+#: A term is a word of so many letters at least.
 TERM_LETTERS = 4
-NEAR = 100
 #: Shares of the entity's information disclosed.
 GENERALISE = 0.8
 REMOVE = 0.95
@@ -94,40 +95,48 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[kind]}:{text[a:b].lower() if kind < 2 else _not_digit.sub('', text[a:b])}"
 
 
-def terms_near(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the terms near each span, outside all spans."""
-    out = []
-    for s in spans:
-        value = entity(text, s)
-        lo, hi = max(0, s[0] - NEAR), min(len(text), s[2] + NEAR)
-        for m in _term.finditer(text, lo, hi):
-            a, b = m.span()
-            cut = (a == lo and a > 0 and text[a - 1].isalpha()) or (b == hi and b < len(text) and text[b].isalpha())
-            if b - a >= TERM_LETTERS and not cut and not any(a < y and x < b for x, _, y in spans):
-                out.append((value, m[0].lower(), a, b))
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[int]]:
+    """Where each term of the text starts outside the (sorted) spans; nowhere for a term that stands within them only."""
+    places: dict[str, list[int]] = {}
+    k, upto = 0, 0
+    for m in _term.finditer(text):
+        a, b = m.span()
+        if b - a < TERM_LETTERS:
+            continue
+        while k < len(spans) and spans[k][0] < b:
+            upto = max(upto, spans[k][2])
+            k += 1
+        at = places.setdefault(m[0], [])
+        if a >= upto:
+            at.append(a)
+    # lower case as in tokens(): code point by code point
+    out: dict[str, list[int]] = {}
+    for term, at in zip(pc.utf8_lower(pa.array(list(places), pa.string())).to_pylist(), places.values(), strict=True):
+        out.setdefault(term, []).extend(at)
     return out
 
 
 _FOUND = "array<struct<at:int,kind:int,upto:int>>"
-_NEAR = "array<struct<entity:string,term:string,at:int,upto:int>>"
+_TERMS = "array<struct<term:string,at:array<int>>>"
 
 
 def find_base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, base, near): each text's base spans, and terms near them."""
+    """(id, base, entities, terms): each text's base spans, distinct entities, and, if it has any, its terms."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     span = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("upto", pa.int32())])
-    close = pa.struct([("entity", pa.string()), ("term", pa.string()), ("at", pa.int32()), ("upto", pa.int32())])
+    place = pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, 1):
-            found, near = [], []
+            found, values, terms = [], [], []
             for t in b.column(1).to_pylist():
                 spans = base_spans(t) if t else []
                 found.append([{"at": x, "kind": k, "upto": y} for x, k, y in spans])
-                near.append([{"entity": e, "term": w, "at": x, "upto": y} for e, w, x, y in terms_near(t, spans)] if spans else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(span)), pa.array(near, pa.list_(close))], names=["id", "base", "near"])
+                values.append(sorted({entity(t, x) for x in spans}))
+                terms.append([{"term": w, "at": x} for w, x in terms_of(t, spans).items()] if spans else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(span)), pa.array(values, pa.list_(pa.string())), pa.array(terms, pa.list_(place))], names=["id", "base", "entities", "terms"])
 
-    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, base {_FOUND}, near {_NEAR}")
+    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, base {_FOUND}, entities array<string>, terms {_TERMS}")
 
 
 def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
@@ -167,15 +176,24 @@ def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text: str, n_docs: int) -> DataFrame:
-    """(entity, term, share): the pairs that reach GENERALISE, with the share of the entity's information disclosed."""
-    pairs = found.select("rid", F.explode("near").alias("x")).select("rid", "x.entity", "x.term").distinct()
-    joint = materialize(pairs.groupBy("entity", "term").agg(F.count("*").alias("joint")), "pii-joint")
-    per_entity = found.select("rid", F.explode("near").alias("x")).select("rid", "x.entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    df = term_frequency(docs, text, joint.select("term").distinct())
-    known = joint.join(df, "term").join(per_entity, "entity")
-    info = -F.log2(F.col("n_entity") / F.lit(float(n_docs)))
-    pmi = F.log2(F.col("joint") * F.lit(float(n_docs)) / (F.greatest("df", "joint") * F.col("n_entity")))
-    return known.where(info > 0).withColumn("share", pmi / info).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    """(rid, term, at, share): the terms that reach GENERALISE for an entity of their text, with their places and the
+    largest share of an entity's information disclosed."""
+    n = F.lit(float(n_docs))
+    entities = found.select("rid", F.explode("entities").alias("entity"))
+    entities = materialize(entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "pii-entities")
+    terms = found.select("rid", F.explode("terms").alias("x")).select("rid", "x.term", "x.at")
+    df = term_frequency(docs, text, terms.select("term").distinct())
+    within = terms.groupBy("term").agg(F.count_if(F.size("at") == 0).alias("within"))
+    df = df.join(within, "term").select("term", (F.col("df") - F.col("within")).alias("df"))
+    # joint is n_entity at most, so a term of more texts than this can't reach GENERALISE for any entity of the text
+    most = entities.groupBy("rid").agg((F.max(n * F.pow(F.col("n_entity") / n, F.lit(GENERALISE))) * 1.000001).alias("most"))
+    rare = terms.where(F.size("at") > 0).join(df, "term").join(most, "rid").where(F.col("df") <= F.col("most")).select("rid", "term", "at", "df")
+    pairs = materialize(rare.join(entities, "rid"), "pii-pairs")
+    info = -F.log2(F.col("n_entity") / n)
+    pmi = F.log2(F.col("joint") * n / (F.greatest("df", "joint") * F.col("n_entity")))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.first("df").alias("df"), F.first("n_entity").alias("n_entity"))
+    told = joint.where(info > 0).withColumn("share", pmi / info).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
+    return pairs.select("rid", "entity", "term", "at").join(told, ["entity", "term"]).groupBy("rid", "term").agg(F.first("at").alias("at"), F.max("share").alias("share"))
 
 
 def joined(spans: Column) -> Column:
@@ -189,9 +207,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     found = materialize(find_base(docs, id_col, text).withColumn("rid", F.monotonically_increasing_id()), "pii-found")
     told = disclosing(found, docs, text, found.count())
     kind = F.when(F.col("share") >= REMOVE, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise")))
-    own = found.select("rid", F.explode("near").alias("x")).select("rid", "x.*").join(told, ["entity", "term"])
-    # a term near two entities is one span, of the stronger kind
-    extra = own.groupBy("rid", "at", "upto").agg(F.max(kind).alias("kind")).groupBy("rid").agg(F.collect_list(F.struct("at", "kind", "upto")).alias("extra"))
+    # a term that discloses two entities is one span, of the stronger kind
+    own = told.select("rid", kind.alias("kind"), F.length("term").alias("n"), F.explode("at").alias("at"))
+    extra = own.groupBy("rid").agg(F.collect_list(F.struct("at", "kind", (F.col("at") + F.col("n")).alias("upto"))).alias("extra"))
     more = found.select("rid", "id", "base").join(extra, "rid", "left")
     return more.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_FOUND)))).alias("spans"))
 

@@ -204,6 +204,16 @@ def test_pii_entity_of_one_text(spark):
     assert not any(found[i] for i in range(40))
 
 
+def test_pii_terms_of_the_whole_text(spark):
+    filler = "plain words number about nothing at all " * 10
+    rows = [(i, filler + f"{i}", "", "") for i in range(40)]
+    rows.append((100, "Zanzibar " + filler + "spy@nest.org " + filler + "zanzibar", "", ""))
+    rows.append((101, "nest " + filler, "", ""))
+    text, found = rows[40][1], {r["doc_id"]: r["spans"] for r in pii.find(table(spark, rows)).collect()}
+    assert [(text[s["at"] : s["upto"]], pii.KINDS[s["kind"]]) for s in found[100]] == [("Zanzibar", "remove"), ("spy@nest.org", "email"), ("zanzibar", "remove")]
+    assert not any(found[i] for i in [*range(40), 101])
+
+
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
