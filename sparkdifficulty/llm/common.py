@@ -83,8 +83,8 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that one slice holds at most about `limit` bytes of text."""
+def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = CHUNK_CHARS, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that one slice holds at most about `limit` bytes of text, and `rows` rows."""
     for b in batches:
         give_back()
         if not b.num_rows:
@@ -94,7 +94,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text_at: int, limit: int = CHUNK_C
         at = 0
         while at < len(n):
             upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
-            upto = max(upto, at + 1)
+            upto = min(max(upto, at + 1), at + rows)
             yield b.slice(at, upto - at)
             at = upto
     give_back()

@@ -1,23 +1,26 @@
 """Jaccard join of documents on word n-grams, exact, and the groups its links make.
 
-Candidates: a document's set of shingles (64-bit hashes) is cut into as many fragments as two linked sets can differ
-in elements, and one more; linked sets then agree on a whole fragment (PartEnum, Arasu et al. 2006). Documents that
-share a fragment stand in one block, through links that grow only with the number of documents, not of pairs. Shingles
-that very many documents hold are left out of fragments (sets differ no more without them), so that a common passage
-does not tie documents together.
-
-Search: within a block every document is a query of T-occurrence search (DivideSkip, Li et al. 2008): an inverted index
-maps shingles to documents; the long lists of the query's shingles are set aside, the short ones are heap-merged, and
-documents that occur often enough are looked up in the long lists by binary search. First the index holds one leader
-of each group found so far; then documents outside the largest group search all documents of the block. What is left
-out are only pairs already known to be in one group, so groups are exact and no pair table is made.
-
-A block with more than BLOCK_SHINGLES shingles is cut into parts; parts are searched alone, and then documents outside
-the block's main group against the other parts, part by part.
+A document's set is its distinct shingles, as 48-bit hashes. One pass cuts documents into chunks and deals each chunk's
+shingles out by ranges of the hash, packed; a range's task counts in how many sets of chunks each shingle stands and sends back
+those of two or more, with that frequency. Only those can be in an overlap, so a document with fewer than `percent` of
+its shingles among them is linked with nothing. For the others, prefix filtering with the rarest shingles first (Bayardo
+et al. 2007, Chaudhuri et al. 2006) gives a few keys each; linked documents share one. Documents of one key are tied in
+order of size, where sizes allow a link, so ties grow with the number of documents and not of pairs. A passage that many
+documents share is frequent, so it stands last in that order and ties nothing but documents that are little else.
+
+Search: tied documents are a block, and every document of it is a query of T-occurrence search (DivideSkip, Li et al.
+2008): an inverted index maps shingles to documents; the long lists of the query's shingles are set aside, the short ones
+are heap-merged, and documents that occur often enough are looked up in the long lists by binary search. First the index
+holds one leader of each group found so far; then documents outside the largest group search all documents of the
+block. What is left out are only pairs already known to be in one group, so groups are exact and no pair table is made.
+
+A block with more than BLOCK_SHINGLES shingles is cut into parts, which are searched alone; the leaders of the parts'
+largest groups are a smaller block of their own; then documents outside the block's main group search the other parts.
 
 Cases: a document without words or with a null text has no shingles and is linked with nothing. One with fewer than k
 words has its whole sequence as its one shingle. Null ids get n_shingles but a null component. Rows that repeat an id
-count as one document. Copies (equal sets) are one node. Columns beside id and text are ignored.
+count as one document, whose texts' links are all its own. Copies (equal sets) are one node. Ids may be of any type that
+has an order. Columns beside id and text are ignored. Exact up to hash collisions.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,11 +46,12 @@ from .components import components
 BLOCK_SHINGLES = 1_000_000
 #: DivideSkip's constant for how many lists count as long (the authors' experiments: below 0.01).
 MU = 0.0085
-#: A shingle in so many documents of a chunk is a candidate for the hot ones; so many of those in most documents are broadcast.
-HOT_IN_CHUNK = 4
-HOT_MOST = 1 << 16
-#: Bits of the fixed-size filter that tells which documents stand in a block.
-FILTER_BITS = 24
+#: Bytes of text whose shingles are packed together, and bytes of all texts for each range of hashes.
+PACK_CHARS = 4_000_000
+RANGE_CHARS = 2_000_000
+#: Bits of a shingle, and bits of a range's number at most.
+TOKEN_BITS = 48
+RANGE_BITS = 20
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -85,53 +90,167 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def set_hash(s: np.ndarray) -> tuple[int, int]:
-    """128 bits of a set, as two signed numbers."""
+def set_hash(s: np.ndarray) -> int:
+    """64 bits of a set, as a signed number."""
     with np.errstate(over="ignore"):
         a, b = mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64)
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
-
-
-class Fragments:
-    """Keys of a set such that two sets with 100 * |intersection| >= percent * |union| share a key."""
-
-    def __init__(self, percent: int, most: int = 1 << 31) -> None:
-        self.percent = percent
-        self.upper = [1]  # sizes up to upper[0], then up to upper[1], ...: partners are of the same or a next band
-        while self.upper[-1] < most:
-            self.upper.append(max(self.upper[-1] + 1, self.upper[-1] * 100 // percent))
-        self.upper_at = np.array(self.upper)
-
-    def cut(self, band: int) -> tuple[int, int]:
-        """(d, m): elements in which linked sets of band and band + 1 differ at most, and number of fragments."""
-        d = (100 - self.percent) * (self.upper[band] + self.upper[band + 1]) // (100 + self.percent)
-        return d, d + 1 + (0 if d == 0 else 1 + 2 * d // 5)
-
-    def keys(self, s: np.ndarray, hot: np.ndarray | None = None) -> np.ndarray:
-        """A key for each fragment of two cold shingles or more (of one, where there is but one fragment). Sets with so many
-        smaller fragments that they may agree on those alone, as one shingle in common could do by chance, also have the keys of prefix filtering (their first shingles: cold before hot, then by hash)."""
-        if not len(s):
-            return np.zeros(0, np.uint64)
-        own = int(np.searchsorted(self.upper_at, len(s)))
-        is_hot = np.zeros(len(s), bool) if hot is None or not len(hot) else hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-        cold = s[~is_hot]
+        return int(mix64(np.array([a + mix64(np.array([b + np.uint64(len(s))]))[0]]))[0].astype(np.int64))
+
+
+def pack(token: np.ndarray, *more: np.ndarray) -> bytes:
+    """Ascending tokens and columns of small numbers, compressed byte by byte of each value."""
+    gaps = np.diff(token, prepend=np.uint64(0)).astype("<u8")
+    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in (gaps, *more)]
+    return pa.Codec("zstd", compression_level=1).compress(b"".join(planes), asbytes=True)
+
+
+def unpack(blob: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    kinds = ("<u8", *kinds)
+    widths = [np.dtype(k).itemsize for k in kinds]
+    data, at, out = np.frombuffer(pa.Codec("zstd").decompress(blob, n * sum(widths), asbytes=True), np.uint8), 0, []
+    for k, w in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(data[at : at + n * w].reshape(w, n).T).view(k).ravel())
+        at += n * w
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+_PACKED = "chunk long, part int, n long, pack binary"
+
+
+def _measure(k: int, bits: int, id_type: pa.DataType):  # noqa: ANN202
+    """Of (id, text): a row (id, n, g) for each document, and the packed shingles of each chunk's distinct sets by range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, names = TaskContext.get().partitionId(), ["id", "n", "g", "chunk", "place", "part", "pack"]
+        for seq, b in enumerate(chunks(batches, 1, PACK_CHARS, 1 << 16)):
+            sets = shingle_sets(b.column(1), k)
+            mark, n = np.array([set_hash(s) for s in sets], np.int64), np.array([len(s) for s in sets], np.int64)
+            chunk = (of << 32) + seq
+            # one of each set goes on; null ids and empty sets don't
+            first = np.unique(mark, return_index=True)[1]
+            use = np.flatnonzero(~b.column(0).is_null().to_numpy(zero_copy_only=False) & (n > 0))
+            first = use[np.unique(mark[use], return_index=True)[1]]
+            place = np.full(len(sets), -1)
+            place[first] = np.arange(len(first))
+            none = [pa.nulls(len(sets), t) for t in (pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(mark), pa.array(np.full(len(sets), chunk)), pa.array(place.astype(np.int32), mask=place < 0), *none], names=names)
+            if not len(first):
+                continue
+            token = np.concatenate([sets[i] for i in first]) >> np.uint64(64 - TOKEN_BITS)
+            doc = np.repeat(np.arange(len(first), dtype="<u2"), n[first])
+            order = np.argsort(token, kind="stable")
+            token, doc = token[order], doc[order]
+            of_part = (token >> np.uint64(TOKEN_BITS - bits)).astype(np.int64)
+            lo = np.flatnonzero(np.diff(of_part, prepend=-1))
+            part, hi = of_part[lo], np.append(lo[1:], len(token))
+            blobs = [pack(token[x:y], doc[x:y]) for x, y in zip(lo, hi, strict=True)]
+            m = len(part)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), pa.array(hi - lo), pa.nulls(m, pa.int64()), pa.array(np.full(m, chunk)), pa.nulls(m, pa.int32()), pa.array(part.astype(np.int32)), pa.array(blobs, pa.binary())], names=names)
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of packed shingles, sorted by range: those that two sets of chunks or more hold, with a byte for their frequency."""
+    for (part,), held in _grouped(batches, 1):
+        chunk, n = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2))
+        token, doc = zip(*[unpack(x.as_buffer(), int(m), "<u2") for x, m in zip((x for b in held for x in b.column(3)), n, strict=True)], strict=True)
+        ends = np.cumsum(n)
+        token, doc = np.concatenate(token), np.concatenate(doc)
+        order = np.argsort(token, kind="stable")
+        new = np.ones(len(token), bool)
+        new[1:] = token[order[1:]] != token[order[:-1]]
+        df = np.diff(np.append(np.flatnonzero(new), len(token)))
+        # a step of an eighth of a doubling; the order only has to be the same for all
+        step = np.minimum(np.log2(df) * 8, 255).astype(np.uint8)
+        often = np.empty(len(token), np.uint8)
+        often[order] = np.repeat(step, df)
+        del order, new
         out = []
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(cold ^ np.uint64(0xA5A5A5A5)), dtype=np.uint64)])
-            high = cold >> np.uint64(32)
-            for band in (own - 1, own):
-                if band < 0:
-                    continue
-                d, m = self.cut(band)
-                part = (high * np.uint64(m)) >> np.uint64(32)
-                at = np.searchsorted(part, np.arange(m + 1, dtype=np.uint64))
-                full = np.flatnonzero(at[1:] >= at[:-1] + (2 if m > 1 else 1))
-                out.append(mix64(sums[at[full + 1]] - sums[at[full]] + mix64(full.astype(np.uint64) + np.uint64(band << 40))))
-                if m - len(full) >= m - d:
-                    prefix = len(s) - -(-self.percent * len(s) // 100) + 1
-                    first = np.concatenate([cold, s[is_hot]])[:prefix]
-                    out.append(mix64(first + mix64(np.array([(band << 40) + (1 << 39)], dtype=np.uint64))))
-        return np.concatenate(out)
+        for c, a, e in zip(chunk, ends - n, ends, strict=True):
+            kept = a + np.flatnonzero(often[a:e])
+            if len(kept):
+                out.append((c, len(kept), pack(token[kept], doc[kept], often[kept])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([part] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["chunk", "part", "n", "pack"])
+        give_back()
+
+
+_CANDIDATES = "g long, chunk long, n long, s array<bigint>, key long, lo long, hi long, a long, b long"
+
+
+def _lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))
+
+
+def _candidates(percent: int):  # noqa: ANN202
+    """Of a chunk's documents and shared shingles: documents that can be linked with their shared shingles, ties of those of one key, and each
+    key's runs of sizes with a document of each."""
+
+    def rows(count: int, /, **columns) -> pa.RecordBatch:  # noqa: ANN003
+        names = ["g", "chunk", "n", "s", "key", "lo", "hi", "a", "b"]
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(count, pa.list_(pa.int64()) if c == "s" else pa.int64())) for c in names], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows are (chunk, part, n, pack, place, g); part -1 holds the documents
+        for (chunk,), held in _grouped(batches, 1):
+            part, n, place, g = (np.concatenate([b.column(i).fill_null(0).to_numpy() for b in held]) for i in (1, 2, 4, 5))
+            blobs = [x for b in held for x in b.column(3)]
+            docs, packs = np.flatnonzero(part < 0), np.flatnonzero(part >= 0)
+            if not len(packs):
+                continue
+            size, mark = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
+            size[place[docs]], mark[place[docs]] = n[docs], g[docs]
+            token, doc, often = (np.concatenate(x) for x in zip(*[unpack(blobs[i].as_buffer(), int(n[i]), "<u2", "u1") for i in packs], strict=True))
+            del blobs, held
+            need = -(-percent * size // 100)
+            shared = np.bincount(doc, minlength=len(size))
+            kept = (shared >= need)[doc]
+            token, doc, often = token[kept].astype(np.int64), doc[kept].astype(np.int64), often[kept]
+            if not len(token):
+                continue
+            shared = np.bincount(doc, minlength=len(size))
+            order = np.lexsort((token, doc))
+            own = np.flatnonzero(shared)
+            yield rows(len(own), g=pa.array(mark[own]), chunk=pa.array(np.full(len(own), chunk)), n=pa.array(size[own]), s=_lists(token[order], shared[own]))
+            # of the prefix, shingles of this document alone need no key
+            order = np.lexsort((token, often, doc))
+            rank = np.arange(len(order)) - np.repeat(np.cumsum(shared[own]) - shared[own], shared[own])
+            order = order[rank < (shared - need + 1)[doc[order]]]
+            key, doc = token[order], doc[order]
+            order = np.lexsort((mark[doc], size[doc], key))
+            key, doc = key[order], doc[order]
+            near = (key[1:] == key[:-1]) & (100 * size[doc[:-1]] >= percent * size[doc[1:]])
+            tied = np.unique(np.stack([mark[doc[:-1]], mark[doc[1:]]], axis=1)[near], axis=0)
+            yield rows(len(tied), a=pa.array(np.ascontiguousarray(tied[:, 0])), b=pa.array(np.ascontiguousarray(tied[:, 1])))
+            start = np.flatnonzero(np.concatenate([[True], ~near]))
+            end = np.append(start[1:], len(key)) - 1
+            yield rows(len(start), g=pa.array(mark[doc[start]]), key=pa.array(key[start]), lo=pa.array(size[doc[start]]), hi=pa.array(size[doc[end]]))
+            give_back()
+
+    return run
+
+
+def _ties(percent: int):  # noqa: ANN202
+    """Of (key, lo, hi, g) sorted so: each run of sizes with the one before it, where the sizes up to there allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, lo, hi, g = (b.column(i).to_numpy() for i in range(4))
+            if last is not None:
+                key, lo, hi, g = (np.concatenate([[x], y]) for x, y in zip(last, (key, lo, hi, g), strict=True))
+            new = np.ones(len(key), np.int64)
+            new[1:] = key[1:] != key[:-1]
+            most = np.maximum.accumulate((np.cumsum(new) << 40) + hi) & ((1 << 40) - 1)
+            near = (new[1:] == 0) & (100 * most[:-1] >= percent * lo[1:]) & (g[1:] != g[:-1])
+            pair = np.unique(np.stack([g[:-1], g[1:]], axis=1)[near], axis=0)
+            last = (key[-1], lo[-1], most[-1], g[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["a", "b"])
+
+    return run
 
 
 class Index:
@@ -198,7 +317,7 @@ def _bounds(percent: int, sizes: list[int]):  # noqa: ANN202
     return least, needed, near
 
 
-def _shared(sets: list[np.ndarray]) -> list[np.ndarray]:
+def _common(sets: list[np.ndarray]) -> list[np.ndarray]:
     """The shingles of each set that another of the sets holds too: only those make overlaps."""
     _, code, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     kept = n[code] > 1
@@ -206,12 +325,13 @@ def _shared(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [s[kept[e - len(s) : e]] for s, e in zip(sets, ends, strict=True)]
 
 
-def link_block(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each document the smallest id of its group, the groups being those of all links among the given ones."""
-    order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
-    shared = _shared(sets)
-    own = [shared[i].tolist() for i in order]
-    least, needed, near = _bounds(percent, [len(sets[i]) for i in order])
+def link_block(ids: list[int], sizes: list[int], sets: list[np.ndarray], percent: int) -> list[int]:
+    """For each document the smallest id of its group, the groups being those of all links among the given ones. sets may
+    leave out shingles that no other document has; sizes count them."""
+    order = sorted(range(len(ids)), key=lambda i: (sizes[i], ids[i]))
+    common = _common(sets)
+    own = [common[i].tolist() for i in order]
+    least, needed, near = _bounds(percent, [sizes[i] for i in order])
     groups, leaders, members = Union(len(ids)), Index(), 0
     same: dict[int, int] = {}
     for i, at in enumerate(order):
@@ -244,76 +364,22 @@ def link_block(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int
     return out
 
 
-def link_across(ids: list[int], sets: list[np.ndarray], groups: list[int], query: list[bool], percent: int) -> list[tuple[int, int]]:
-    """Links (group, group) of the query documents to the others; one for each two groups found linked."""
-    order = sorted((i for i in range(len(ids)) if not query[i]), key=lambda i: (len(sets[i]), ids[i]))
-    index = Index()
-    for i in order:
-        index.add(i, sets[i].tolist())
-    for x in index.lists.values():
-        x.sort()
-    sizes = [len(s) for s in sets]
-    least, needed, near = _bounds(percent, sizes)
-    found: set[tuple[int, int]] = set()
-    for i in (i for i in range(len(ids)) if query[i]):
-        for j in index.search(sets[i].tolist(), least(i), lambda j, i=i: needed(i, j), lambda j, i=i: near(i, j) and (groups[i], groups[j]) not in found and groups[i] != groups[j]):
-            found.add((groups[i], groups[j]))
-    return list(found)
-
-
-def _measure(k: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 1):
-            sets = shingle_sets(b.column(1), k)
-            marks = [set_hash(s) for s in sets]
-            shingle, n = np.unique(np.concatenate(sets), return_counts=True)
-            often = n >= HOT_IN_CHUNK
-            shingle, n = shingle[often].view(np.int64), n[often]
-            none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.nulls(b.num_rows, pa.int64())], names=["id", "n", "h1", "h2", "hot"])
-            yield pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), none, none, pa.array(shingle)], names=["id", "n", "h1", "h2", "hot"])
-
-    return run
-
+class Part:
+    """The documents of one part of a block, to be searched by documents of others."""
 
-def _postings(k: int, percent: int, hot):  # noqa: ANN001, ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Fragments(percent)
-        for b in chunks(batches, 1):
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            keys = [cut.keys(s, hot.value) for s in shingle_sets(b.column(1), k)]
-            doc = np.repeat(ids, [len(x) for x in keys])
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = key[1:] != key[:-1]
-            # a key goes out once for this chunk; the chunk's other documents of the key are tied to the first by a key of their own
-            first = doc[new][np.cumsum(new) - 1]
-            tied = np.unique(np.stack([first, doc], axis=1)[~new & (first != doc)], axis=0)
-            with np.errstate(over="ignore"):
-                tie = mix64(tied[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + mix64(tied[:, 1].astype(np.uint64))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[new], tie, tie])), pa.array(np.concatenate([doc[new], tied[:, 0], tied[:, 1]]).astype(np.int64))], names=["key", "doc"])
+    def __init__(self, sizes: list[int], sets: list[np.ndarray], roots: list[int], percent: int) -> None:
+        order = sorted(range(len(sizes)), key=lambda i: sizes[i])
+        self.sizes, self.roots, self.percent = [sizes[i] for i in order], [roots[i] for i in order], percent
+        self.index, self.found = Index(), set()
+        for place, i in enumerate(order):
+            self.index.add(place, sets[i].tolist())
 
-    return run
-
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: the first document of each key with each other one."""
-    last_key, last_first = None, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, doc = b.column(0).to_numpy(), b.column(1).to_numpy()
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        head = doc[new]
-        if last_key is not None and key[0] == last_key:
-            head[0] = last_first
-        first = head[np.cumsum(new) - 1]
-        last_key, last_first = key[-1], first[-1]
-        pair = np.unique(np.stack([first, doc], axis=1)[first != doc], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1]))], names=["a", "b"])
+    def ask(self, size: int, shingles: list[int], root: int) -> None:
+        """Adds (root, the other's root) to found for each group that the document is linked with."""
+        p = self.percent
+        least = max(1, -(-p * (size + -(-p * size // 100)) // (100 + p)))
+        for j in self.index.search(shingles, least, lambda j: -(-p * (size + self.sizes[j]) // (100 + p)), lambda j: 100 * min(size, self.sizes[j]) >= p * max(size, self.sizes[j]) and root != self.roots[j] and (root, self.roots[j]) not in self.found):
+            self.found.add((root, self.roots[j]))
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
@@ -335,7 +401,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[t
         yield now, held
 
 
-def _column(held: list[pa.RecordBatch], name: str) -> list:
+def _numbers(held: list[pa.RecordBatch], name: str) -> list[int]:
     return [x for b in held for x in b.column(b.schema.names.index(name)).to_pylist()]
 
 
@@ -343,113 +409,113 @@ def _sets(held: list[pa.RecordBatch]) -> list[np.ndarray]:
     out = []
     for b in held:
         x = b.column(b.schema.names.index("s"))
-        out += [x[i].values.to_numpy() for i in range(len(x))]
+        at, flat = x.offsets.to_numpy(), x.values.to_numpy()
+        out += [flat[a:e] for a, e in zip(at[:-1], at[1:], strict=True)]
     return out
 
 
-def _in_blocks(percent: int):  # noqa: ANN202
+def _in_parts(percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, roots = [], []
+        docs, roots = [], []
         for _, held in _grouped(batches, 2):
-            own = _column(held, "doc")
-            ids += own
-            sets = _sets(held)
-            roots += link_block(own, sets, percent)
+            own, sets = _numbers(held, "doc"), _sets(held)
+            docs += own
+            roots += link_block(own, _numbers(held, "n"), sets, percent)
             if sum(map(len, sets)) > BLOCK_SHINGLES // 8:
                 give_back()
-            if len(ids) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["doc", "root"])
-                ids, roots = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(roots, pa.int64())], names=["doc", "root"])
+            if len(docs) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(roots, pa.int64())], names=["doc", "root"])
+                docs, roots = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(roots, pa.int64())], names=["doc", "root"])
 
     return run
 
 
 def _across(percent: int):  # noqa: ANN202
+    """Of rows sorted by block, part and asks: a part's documents, then those of others that search them, batch by batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, held in _grouped(batches, 3):
-            links = link_across(_column(held, "doc"), _sets(held), _column(held, "root"), _column(held, "query"), percent)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+        key, part = None, None
+        for now, held in _grouped(batches, 3):
+            if now[2] == 0:
+                key, part = now[:2], Part(_numbers(held, "n"), _sets(held), _numbers(held, "root"), percent)
+                continue
+            if now[:2] != key:
+                continue
+            for b in held:
+                part.found = set()
+                for n, s, root in zip(_numbers([b], "n"), _sets([b]), _numbers([b], "root"), strict=True):
+                    part.ask(n, s.tolist(), root)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part.found], pa.int64()), pa.array([y for _, y in part.found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _split_blocks(big: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between groups of different parts of blocks that were cut; big: (block, part, doc, s, root)."""
-    per = big.groupBy("block", "part", "root").agg(F.count("*").alias("size"))
-    # of each part the largest group's leader; leaders of a block, one for each part, are linked among themselves
-    top = per.groupBy("block", "part").agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("top"), F.max("size").alias("top_size"))
-    lead = big.join(top, ["block", "part"]).where(F.col("doc") == F.col("top"))
-    hubs = lead.select("block", F.lit(0).alias("part"), "doc", "s").repartition("block").sortWithinPartitions("block", "part").mapInArrow(_in_blocks(percent), "doc long, root long")
-    hubs = materialize(hubs.withColumnRenamed("root", "hub").withColumnRenamed("doc", "top"), "hubs")
-    weight = top.join(hubs, "top").groupBy("block", "hub").agg(F.sum("top_size").alias("w")).groupBy("block").agg(F.max_by("hub", F.struct("w", -F.col("hub"))).alias("main"))
-    in_main = top.join(hubs, "top").join(weight, "block").where(F.col("hub") == F.col("main")).select("block", F.col("top").alias("root"), F.lit(True).alias("in_main"))
-    known = materialize(big.join(in_main, ["block", "root"], "left").withColumn("query", F.col("in_main").isNull()).select("block", "part", "doc", "s", "root", "query"), "parts")
-    outside = known.where("query")
-    parts = known.select("block", "part").distinct()
-    asked = outside.select("block", "part").distinct().withColumnRenamed("part", "from_part")
-    queries = outside.withColumnRenamed("part", "from_part").join(parts, "block").where("part <> from_part").select("block", "part", "from_part", "doc", "s", "root", "query")
-    rows = known.join(asked, "block").where("part <> from_part").select("block", "part", "from_part", "doc", "s", "root", F.lit(False).alias("query"))
-    found = queries.union(rows).repartition("block", "part", "from_part").sortWithinPartitions("block", "part", "from_part").mapInArrow(_across(percent), "a long, b long")
-    links = materialize(found.union(hubs.select(F.col("top").alias("a"), F.col("hub").alias("b"))), "across")
-    discard(hubs, known)
-    return links
+def _groups(known: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """(doc, root) of (block, doc, n, s): groups of all links within blocks. A block of many shingles is cut into parts of four documents or more."""
+    weigh = known.groupBy("block").agg(F.least(F.floor(F.sum(F.size("s")) / block_shingles) + 1, F.ceil(F.count("*") / 4)).alias("parts"))
+    cut = materialize(weigh.where("parts > 1"), "cut-blocks")
+    parted = known.join(cut, "block", "left").select("block", F.coalesce(F.pmod(F.xxhash64("doc"), "parts"), F.lit(0)).alias("part"), "doc", "n", "s")
+    found = parted.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_in_parts(percent), "doc long, root long")
+    found = materialize(found.groupBy("doc").agg(F.min("root").alias("root")), "groups")
+    if not cut.limit(1).count():
+        discard(cut)
+        return found
+    big = materialize(parted.join(cut, "block").join(found, "doc").select("block", "part", "doc", "n", "s", "root", "parts"), "parts")
+    # the leader of each part's largest group; the leaders of a block are a block
+    top = big.groupBy("block", "part", "root").agg(F.count("*").alias("size")).groupBy("block", "part").agg(F.max_by("root", F.struct("size", -F.col("root"))).alias("top"), F.max("size").alias("size"))
+    top = materialize(top, "tops")
+    lead = big.join(top.select("block", "part", F.col("top").alias("doc")), ["block", "part", "doc"], "left_semi").select("block", "doc", "n", "s")
+    hubs = _groups(lead, percent, block_shingles)
+    hub = top.join(hubs, F.col("top") == F.col("doc")).select("block", "top", "size", F.col("root").alias("hub"))
+    main = hub.groupBy("block", "hub").agg(F.sum("size").alias("w")).groupBy("block").agg(F.max_by("hub", F.struct("w", -F.col("hub"))).alias("hub"))
+    inside = hub.join(main, ["block", "hub"], "left_semi").select("block", F.col("top").alias("root"))
+    outside = big.join(inside, ["block", "root"], "left_anti")
+    asks = outside.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("to"), "part", "doc", "n", "s", "root").where("to <> part")
+    rows = big.select("block", "part", F.lit(0).alias("asks"), "doc", "n", "s", "root").union(asks.select("block", F.col("to").alias("part"), F.lit(1).alias("asks"), "doc", "n", "s", "root"))
+    across = rows.repartition("block", "part").sortWithinPartitions("block", "part", "asks").mapInArrow(_across(percent), "a long, b long")
+    links = materialize(across.union(hubs.select(F.col("doc").alias("a"), F.col("root").alias("b"))), "across")
+    discard(big, top, cut)
+    more = components(links).withColumnsRenamed({"root": "top", "node": "root"})
+    discard(links)
+    return found.join(more, "root", "left").select("doc", F.coalesce("top", "root").alias("root"))
 
 
 def join_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """(id, n_shingles, component_id) of every document; a component is what links of `percent` similarity reach."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    counted = materialize(own.mapInArrow(_measure(k), "id long, n long, h1 long, h2 long, hot long"), "sets")
-    often = counted.where("hot is not null").groupBy("hot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "hot").limit(HOT_MOST).toArrow()  # at most HOT_MOST numbers
-    hot = docs.sparkSession.sparkContext.broadcast(np.sort(often.column("hot").to_numpy().astype(np.int64).view(np.uint64)))
-    sized = counted.where("hot is null").drop("hot")
-    copies = sized.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("rep_n"))
-    measured = materialize(sized.join(copies, ["h1", "h2"], "left").select("id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "copies")
-    discard(counted)
-
-    # candidate links between documents that share a fragment; copies count as their first
-    filled = own.where("id is not null and text is not null")
-    posted = filled.mapInArrow(_postings(k, percent, hot), "key long, doc long").repartition("key").sortWithinPartitions("key", "doc")
-    near = materialize(posted.mapInArrow(_runs, "a long, b long").distinct(), "candidates")
-    rep = measured.where("rep is not null").groupBy(F.col("id").alias("doc")).agg(F.min("rep").alias("rep"))
-    of = near.join(rep.withColumnsRenamed({"doc": "a", "rep": "ra"}), "a").join(rep.withColumnsRenamed({"doc": "b", "rep": "rb"}), "b")
-    blocks = components(of.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    discard(near)
-    n_of = measured.where("rep = id").groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n"))
-    member = blocks.join(n_of, "node")
-    weigh = member.groupBy("root").agg((F.floor(F.sum("n") / block_shingles) + 1).alias("parts"))
-    member = materialize(member.join(weigh, "root").select(F.col("node").alias("doc"), F.col("root").alias("block"), F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "parts"), "blocks")
-
-    # the members' sets; a filter of fixed size keeps other texts from being shuffled
-    bits = 1 << FILTER_BITS
-    place = F.pmod(F.xxhash64("doc"), F.lit(bits))
-    words = member.select(F.floor(place / 32).alias("w"), F.expr("1L << cast(pmod(xxhash64(doc), 32) as int)").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most bits / 32 rows
-    held = np.zeros(bits // 32, dtype=np.uint32)
-    held[words.column("w").to_numpy()] = words.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(held)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 1):
-            at = b.column(2).to_numpy()
-            b = b.filter(pa.array((shared.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1))
-            if b.num_rows:
-                found = shingle_sets(b.column(1), k)
-                s = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), s], names=["doc", "s"])
-
-    placed = filled.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(bits)))
-    known = placed.mapInArrow(sets, "doc long, s array<bigint>").where(F.size("s") > 0).join(member, "doc").select("block", "part", "doc", "s", "parts")
-    big_blocks = member.where("parts > 1").limit(1).count() > 0
-    if big_blocks:
-        known = materialize(known, "block-sets")
-    found = known.select("block", "part", "doc", "s").repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_in_blocks(percent), "doc long, root long")
-    found = materialize(found.groupBy("doc").agg(F.min("root").alias("root")), "groups")
-    if big_blocks:
-        cut = known.where("parts > 1").join(found, "doc").select("block", "part", "doc", "s", "root")
-        across = _split_blocks(cut, percent)
-        discard(known)
-        more = components(across).withColumnRenamed("root", "top")
-        discard(across)
-        found = found.join(more, F.col("root") == F.col("node"), "left").select("doc", F.coalesce("top", "root").alias("root"))
-    out = measured.join(found.withColumnRenamed("doc", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(4, min(RANGE_BITS, (size // RANGE_CHARS).bit_length()))
+    id_type = dict(own.dtypes)["id"]
+    schema = f"id {id_type}, n long, g long, chunk long, place int, part int, pack binary"
+    table = materialize(own.mapInArrow(_measure(k, bits, own.limit(0).toArrow().schema.field(0).type), schema), "shingles")
+    every, packed = table.where("part is null"), table.where("part is not null")
+
+    dealt = packed.select("part", "chunk", "n", "pack").repartition("part").sortWithinPartitions("part")
+    shared = dealt.mapInArrow(_shared, _PACKED).select("chunk", "part", "n", "pack", F.lit(None).cast("int").alias("place"), F.lit(None).cast("long").alias("g"))
+    placed = every.where("place is not null").select("chunk", F.lit(-1).alias("part"), "n", F.lit(None).cast("binary").alias("pack"), "place", "g")
+    got = materialize(shared.union(placed).repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_candidates(percent), _CANDIDATES), "candidates")
+    sized = materialize(every.select("id", "n", "g"), "sizes")
+    discard(table)
+
+    # blocks: what ties reach
+    runs = got.where("key is not null").select("key", "lo", "hi", "g").repartition("key").sortWithinPartitions("key", "lo", "hi", "g")
+    blocks = components(got.where("a is not null").select("a", "b").union(runs.mapInArrow(_ties(percent), "a long, b long")))
+    sets = got.where("s is not null")
+    member = blocks.select(F.col("node").alias("g"), F.col("root").alias("block")).join(sets.groupBy("g").agg(F.min("chunk").alias("chunk")), "g")
+    known = materialize(sets.select("g", "chunk", "n", "s").join(member, ["g", "chunk"]).select("block", F.col("g").alias("doc"), "n", "s"), "block-sets")
+    discard(got)
+    found = _groups(known, percent, block_shingles)
+    discard(known)
+
+    # texts of one id are one document
+    filled = sized.where("n > 0 and id is not null")
+    repeated = filled.groupBy("id").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a <> z")
+    ties = filled.join(repeated, "id").select("a", F.col("g").alias("b")).where("a <> b")
+    if ties.limit(1).count():
+        both = components(ties.union(found.select(F.col("doc").alias("a"), F.col("root").alias("b"))))
+        found = both.withColumnRenamed("node", "doc")
+    rooted = filled.groupBy("g").agg(F.min("id").alias("least")).join(found.withColumnRenamed("doc", "g"), "g", "left").withColumn("root", F.coalesce("root", "g"))
+    least = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component")), "root").select("g", "component")
+    out = sized.withColumn("key", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("g"))).join(least.withColumnRenamed("g", "key"), "key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -135,18 +135,34 @@ def test_ngram_join(spark, odd, none, most):
         assert ngram_join.join_groups(none).count() == 0
 
 
-def test_fragments_find_every_link():
+def test_packed_shingles_come_back():
     rng = np.random.default_rng(6)
-    cut = ngram_join.Fragments(85)
-    for n in (1, 2, 3, 6, 7, 9, 13, 20, 40, 120, 500):
-        for _ in range(60):
-            s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-            drop = rng.integers(0, max(1, n // 6) + 1)
-            t = np.unique(np.concatenate([s[drop:], rng.integers(0, 2**63, rng.integers(0, max(1, n // 12) + 1)).astype(np.uint64)]))
-            both = len(np.intersect1d(s, t))
-            if both and 100 * both >= 85 * (len(s) + len(t) - both):
-                hot = np.sort(rng.choice(s, n // 2))
-                assert np.intersect1d(cut.keys(s), cut.keys(t)).size and np.intersect1d(cut.keys(s, hot), cut.keys(t, hot)).size
+    for n in (0, 1, 2, 500):
+        token = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        doc, often = rng.integers(0, 1 << 16, n).astype("<u2"), rng.integers(0, 256, n).astype("u1")
+        got = ngram_join.unpack(ngram_join.pack(token, doc, often), n, "<u2", "u1")
+        assert all((x == y).all() for x, y in zip(got, (token, doc, often), strict=True))
+
+
+def test_ngram_join_of_a_shared_passage(spark):
+    """A passage in most documents ties nothing but those that are little else; nor do null and repeated ids."""
+    rng = random.Random(15)
+    passage = prose(rng, 60)
+    rows = [(i, f"{prose(rng, rng.choice([2, 40, 90]))} {passage} {i}", None, None) for i in range(80)]
+    rows += [(i, rows[i - 200][1] + " end", None, None) for i in range(200, 210)]
+    rows += [(300, passage, None, None), (301, passage.upper(), None, None), (301, rows[5][1], None, None), (None, rows[5][1], None, None)]
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join_groups(table(spark, rows), block_shingles=300).collect()]
+    want = near_groups(rows[:-2], 5, 80)
+    tied = {want[5][1], want[301][1]}
+    expected = [(i, n, min(tied) if c in tied else c) for i, (n, c) in want.items()]
+    expected += [(301, want[5][0], min(tied)), (None, want[5][0], None)]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_ngram_join_takes_ids_of_any_type(spark):
+    rows = [("b", "one two three four five six"), ("a", "one two three four five six"), ("c", None)]
+    got = ngram_join.join_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted(map(tuple, got)) == [("a", 2, "a"), ("b", 2, "a"), ("c", 0, "c")]
 
 
 def test_line_dedup(spark, odd, none):
