@@ -7,7 +7,8 @@ Windows overlap, so covered places of one document merge. Documents of fewer tha
 
 Cases: a null text stays null and an empty one empty. Rows with a null id are left alone and count for nothing. Of
 rows that repeat an id, each row is handled alike: places are those of the distinct (id, text) rows, the smaller text
-first. Columns beside id and text pass through; names are not used. A window is compared by 64 bits of one hash and 32
+first. Columns beside id and text pass through,
+whatever their names. A window is compared by 64 bits of one hash and 32
 of another.
 """
 
@@ -51,28 +52,32 @@ def _windows(text: Column) -> Column:
 
 def covered_windows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """(id, text_hash, w) of every window that occurred before, in an earlier place of the corpus."""
-    own = docs.where(F.col(id_col).isNotNull() & F.col(text).contains("\n"))
-    w = own.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("th"), F.explode(_windows(F.col(text))).alias("x")).select("id", "th", "x.*")
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("id").isNotNull() & F.col("text").contains("\n"))
+    w = own.select("id", F.xxhash64("text").alias("th"), F.explode(_windows(F.col("text"))).alias("x")).select("id", "th", "x.*")
     first = w.groupBy("h", "g").agg(F.min(F.struct("id", "th", "w")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
     return w.join(first, ["h", "g"]).where(F.struct("id", "th", "w") != F.col("first")).select("id", "th", "w")
 
 
+def _without(text: Column, windows: Column) -> Column:
+    """(text, n): the text without the lines of the windows, in time linear in its lines, and how many lines went."""
+    parts = F.struct(F.split(text, "\n", -1).alias("lines"), _filled(text).alias("filled"), F.array_distinct(F.flatten(F.transform(windows, lambda w: F.sequence(w, w + (WINDOW - 1))))).alias("numbers"))
+
+    def cut(s: Column) -> Column:
+        gone = F.transform(s["numbers"], lambda k: s["filled"][k]["at"])
+        kept = F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), gone)
+        return F.struct(F.array_join(F.transform(kept, lambda i: s["lines"][i]), "\n").alias("text"), F.size(s["numbers"]).alias("n"))
+
+    # a lambda's argument is computed once
+    return F.element_at(F.transform(F.array(parts), cut), 1)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the later copies of repeated windows gone from text, and n_lines_removed long added last."""
     # map-side sets keep a document's row small; each set is as long as its document at most
     hit = covered_windows(docs, id_col, text).groupBy("id", "th").agg(F.collect_set("w").alias("ws"))
-    ids = [F.col(c) for c in docs.columns]
-    own = docs.withColumn("__th", F.xxhash64(F.col(text)))
-    hit = hit.select(F.col("id").alias("__id"), F.col("th").alias("__th2"), F.col("ws").alias("__ws"))
-    joined = own.join(hit, (F.col(id_col) == F.col("__id")) & (F.col("__th") == F.col("__th2")), "left")
-    filled = _filled(F.col(text))
-    # numbers of the filled lines that a window covers, then their places
-    numbers = F.array_distinct(F.flatten(F.transform("__ws", lambda w: F.sequence(w, w + (WINDOW - 1)))))
-    gone = F.element_at(F.transform(F.array(F.struct(filled.alias("f"), numbers.alias("n"))), lambda s: F.transform(s["n"], lambda k: s["f"][k]["at"])), 1)
-    with_gone = joined.withColumn("__gone", F.when(F.col("__ws").isNotNull(), gone))
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    out = with_gone.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
-    columns = [F.col("__kept").alias(c) if c == text else ids[i] for i, c in enumerate(docs.columns)]
-    return out.select(*columns, F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_lines_removed"))
-
-
+    # the caller's columns travel as one, so that their names meet none of those used here
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
+    joined = own.join(hit, ["id", "th"], "left")
+    cut = joined.select("row", F.when(F.col("ws").isNotNull(), _without(F.col("row").getField(text), F.col("ws"))).alias("cut"))
+    own_columns = [F.when(F.col("cut").isNull(), F.col("row").getField(c)).otherwise(F.col("cut.text")).alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return cut.select(*own_columns, F.coalesce(F.col("cut.n"), F.lit(0)).cast("long").alias("n_lines_removed"))

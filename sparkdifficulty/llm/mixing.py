@@ -54,10 +54,16 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(id, source, size, source_size, target, taken) of every document."""
+def place_hash(id_: Column, text: Column) -> Column:
+    """The hash that a document is shuffled by: of its id and text."""
+    return F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, keep_hash: bool = False) -> DataFrame:
+    """(id, source, size, source_size, target, taken) of every document, and its place hash h last if asked for."""
     spark = docs.sparkSession
-    tape = materialize(docs.select(F.col(id_col).alias("id"), F.col(source).alias("src"), n_words(F.col(text)).alias("size"), F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))).alias("h")), "mix-sizes")
+    id_of, text_of = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    tape = materialize(docs.select(id_of.alias("id"), F.col(f"`{source}`").alias("src"), n_words(text_of).alias("size"), place_hash(id_of, text_of).alias("h")), "mix-sizes")
     per = tape.groupBy("src").agg(F.sum("size").alias("total"), F.count("*").alias("rows")).collect()  # a row for each source
     sizes = {r["src"]: r["total"] for r in per}
     goal = targets(sizes)
@@ -102,4 +108,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     taken = pieces.join(uses, ["k", "block"]).groupBy("h", "id", "k", "from").agg(F.sum((hi - lo) * F.col("uses")).alias("taken"))
     keys = (F.col("laid.h") == F.col("t.h")) & F.col("laid.id").eqNullSafe(F.col("t.id")) & (F.col("laid.k") == F.col("t.k")) & (F.col("laid.from") == F.col("t.from"))
     out = laid.alias("laid").join(taken.alias("t"), keys, "left")
-    return out.select(F.col("laid.id").alias(id_col), F.col("src").alias(source), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"))
+    return out.select(F.col("laid.id").alias(id_col), F.col("src").alias(source), "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("taken"), *([F.col("laid.h").alias("h")] if keep_hash else []))

@@ -1,14 +1,15 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a hashed character n-gram (within word edges) anywhere in the whole text. Naive Bayes
-log-count ratios scale the features, and a logistic regression with L2 penalty is fitted on the scaled features
-(Wang and Manning 2012). Empty and null texts have no feature, so their score follows from the intercept alone.
-Rows are kept one for one. With labels of one class only (or none) every score is that class's share (or 0).
+A feature is how densely a hashed character n-gram (within word edges) stands in the whole text: the square root of its
+occurrences in a thousand n-grams. Naive Bayes log-count ratios of the densities scale the features, and a logistic
+regression with L2 penalty is fitted on the scaled features until its gradient is small (Wang and Manning 2012). Empty
+and null texts have no feature, so their score follows from the intercept alone. Rows are kept one for one. With labels
+of one class only (or none) every score is that class's share (or 0).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,11 @@ TRAIN_ROWS = 6000
 FEATURES = 4096
 SMOOTH = 1.0
 L2 = 1e-3
+#: The fit ends when the gradient is this share of the first one.
+GRADIENT = 1e-5
+#: Parts of a text's n-grams in which densities are counted, and texts that a worker scores at once.
+PARTS = 1_000_000
+ROWS = 512
 
 
 @dataclass
@@ -37,16 +43,23 @@ class ToxicityModel:
     intercept: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        doc, feature = present(texts, self.slot)
-        z = np.bincount(doc, weights=self.weight[feature], minlength=len(texts)) + self.intercept
+        z = np.full(len(texts), self.intercept)
+        if len(self.weight) and len(texts):
+            place, total = occurrences(texts, self.slot, len(self.weight))
+            z += density(np.bincount(place, minlength=len(texts) * len(self.weight)).reshape(len(texts), -1), total[:, None]) @ self.weight
         return 1.0 / (1.0 + np.exp(-np.clip(z, -500, 500)))
 
 
-def present(texts: pa.Array, slot: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, feature) pairs, each once: the features in each text; buckets themselves without slot."""
+def density(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.sqrt(1000.0 * count / np.maximum(total, 1))
+
+
+def occurrences(texts: pa.Array, slot: np.ndarray | None, features: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text * features + feature) of every occurrence of a feature (any bucket without slot), and each text's number of n-grams."""
     t = tokens(texts)
     words = [letters_only(x) for x in t.unique]
     g = char_grams([w or "\x02" for w in words], ORDERS, BITS)
+    every = np.bincount(g.word, minlength=len(words))
     feature = g.bucket if slot is None else slot[g.bucket]
     kept = feature >= 0
     word, feature = g.word[kept], feature[kept].astype(np.int64)
@@ -55,46 +68,73 @@ def present(texts: pa.Array, slot: np.ndarray | None) -> tuple[np.ndarray, np.nd
     n = np.bincount(word, minlength=len(words))
     starts = np.concatenate([[0], np.cumsum(n)])
     doc = np.repeat(np.arange(len(t.offsets) - 1), np.diff(t.offsets))
+    total = np.bincount(doc, weights=every[t.codes], minlength=len(t.offsets) - 1) if len(doc) else np.zeros(len(t.offsets) - 1)
     telling = n[t.codes] > 0
-    pair = np.unique(doc[telling] * len(words) + t.codes[telling]) if telling.any() else np.zeros(0, np.int64)
-    doc, code = pair // max(len(words), 1), pair % max(len(words), 1)
+    doc, code = doc[telling], t.codes[telling]
     times = n[code]
-    if not times.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.repeat(starts[code] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-    size = (1 << BITS) if slot is None else int(slot.max()) + 1
-    both = np.unique(np.repeat(doc, times) * size + feature[at])
-    return both // size, both % size
+    at = np.repeat(starts[code] - np.concatenate([[0], np.cumsum(times)])[:-1], times) + np.arange(times.sum())
+    return np.repeat(doc, times) * features + feature[at], total
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), dtype=np.int64)
+    """Of (text, label): for each bucket and label the texts that hold it, and the sum of its whole-number densities."""
+    size = 1 << BITS
+    held, dense = np.zeros((2, size), dtype=np.int64), np.zeros((2, size), dtype=np.int64)
     for b in chunks(batches, 0, CHUNK_CHARS // 4):  # all buckets of a text, not just the model's
         label = np.array(b.column(1).to_pylist(), dtype=np.int64)
-        doc, bucket = present(b.column(0), None)
+        place, total = occurrences(b.column(0), None, size)
+        place, times = np.unique(place, return_counts=True)
+        doc, bucket = place // size, place % size
+        part = (times * PARTS // np.maximum(total[doc], 1)).astype(np.int64)
         for y in (0, 1):
-            counts[y] += np.bincount(bucket[label[doc] == y], minlength=1 << BITS)
-    at = np.flatnonzero(counts.sum(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["at", "n0", "n1"])
-
-
-def fit_logistic(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray, l2: float = L2, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Weights on log-count-ratio features by Nesterov's accelerated gradient; each row's features sum to one length."""
-    n, m = len(y), len(ratio)
-    value = ratio[feature]
-    w, b = np.zeros(m), 0.0
-    square = np.bincount(doc, weights=value**2, minlength=n) + 1
-    rate = 4.0 / max(np.percentile(square, 99), 1e-9)
-    v, vb = w.copy(), b
-    for k in range(steps):
-        z = np.bincount(doc, weights=value * v[feature], minlength=n) + vb
+            own = label[doc] == y
+            held[y] += np.bincount(bucket[own], minlength=size)
+            dense[y] += np.bincount(bucket[own], weights=part[own], minlength=size).astype(np.int64)
+    at = np.flatnonzero(held.sum(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *[pa.array(x[y][at]) for x in (held, dense) for y in (0, 1)]], names=["at", "n0", "n1", "d0", "d1"])
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, share: float = GRADIENT, memory: int = 10) -> np.ndarray:
+    """Where the smooth convex f, given with its gradient, is least: limited-memory BFGS steps with halving, until the
+    gradient is `share` of the first one or no step goes down."""
+    value, slope = f(x)
+    goal = share * np.linalg.norm(slope)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    while np.linalg.norm(slope) > goal:
+        way, used = slope.copy(), []
+        for s, y, sy in reversed(past):
+            used.append((s @ way) / sy)
+            way -= used[-1] * y
+        way *= past[-1][2] / (past[-1][1] @ past[-1][1]) if past else 1 / np.linalg.norm(way)
+        for (s, y, sy), a in zip(past, reversed(used), strict=True):
+            way += (a - (y @ way) / sy) * s
+        step, down = 1.0, slope @ way
+        while True:
+            value_next, slope_next = f(x - step * way)
+            if value_next <= value - 1e-4 * step * down:
+                break
+            step /= 2
+            if step < 1e-12:
+                return x
+        moved, turned = -step * way, slope_next - slope
+        if moved @ turned > 1e-14:
+            past = [*past[-(memory - 1) :], (moved, turned, float(moved @ turned))]
+        x, value, slope = x + moved, value_next, slope_next
+    return x
+
+
+def fit_logistic(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray, features: int, l2: float = L2) -> tuple[np.ndarray, float]:
+    """Weights and intercept of the penalised logistic regression of rows y on sparse values."""
+    n = len(y)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(doc, weights=value * w[:-1][feature], minlength=n) + w[-1]
         e = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        grad = np.bincount(feature, weights=value * e[doc], minlength=m) / n + l2 * v
-        nw, nb = v - rate * grad, vb - rate * e.mean()
-        push = k / (k + 3)
-        v, vb = nw + push * (nw - w), nb + push * (nb - b)
-        w, b = nw, nb
-    return w, b
+        grad = np.append(np.bincount(feature, weights=value * e[doc], minlength=features) / n + l2 * w[:-1], e.mean())
+        return float((np.logaddexp(0, z) - y * z).mean() + l2 / 2 * (w[:-1] @ w[:-1])), grad
+
+    w = minimise(loss, np.zeros(features + 1))
+    return w[:-1], float(w[-1])
 
 
 def train(labelled: DataFrame, text: str, label: str, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> ToxicityModel:
@@ -131,10 +171,14 @@ def fit(sample: DataFrame, share: dict[int, float], features: int = FEATURES) ->
     if len(size) < 2:
         only = next(iter(size), 0)
         return ToxicityModel(none, np.zeros(0), 30.0 if only == 1 else -30.0)
-    counts = sample.mapInArrow(_count, "at int, n0 long, n1 long").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    n0, n1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    n0[counts["at"]], n1[counts["at"]] = counts["n0"], counts["n1"]
-    ratio = np.log((n1 + SMOOTH) / (n1 + SMOOTH).sum()) - np.log((n0 + SMOOTH) / (n0 + SMOOTH).sum())
+    names = ["n0", "n1", "d0", "d1"]
+    counts = sample.select("t", "y").mapInArrow(_count, "at int, n0 long, n1 long, d0 long, d1 long").groupBy("at").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # 2**BITS rows at most
+    n0, n1, d0, d1 = np.zeros((4, 1 << BITS))
+    for into, c in zip((n0, n1, d0, d1), names, strict=True):
+        into[counts["at"]] = counts[c]
+    # densities weigh as much as the counts of texts, so that SMOOTH means a text
+    d0, d1 = (d * max(n.sum(), 1) / max(d.sum(), 1) for d, n in ((d0, n0), (d1, n1)))
+    ratio = np.log((d1 + SMOOTH) / (d1 + SMOOTH).sum()) - np.log((d0 + SMOOTH) / (d0 + SMOOTH).sum())
     spread = np.abs(ratio) * np.sqrt(n0 + n1)
     spread[n0 + n1 < 2] = 0
     top = np.lexsort((np.arange(len(spread)), -spread))[:features]
@@ -145,22 +189,24 @@ def fit(sample: DataFrame, share: dict[int, float], features: int = FEATURES) ->
         return ToxicityModel(none, np.zeros(0), float(np.log(size[1] / share[1]) - np.log(size[0] / share[0])))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 0):
-            doc, feature = present(b.column(0), slot)
-            bounds = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(1), lists], names=["y", "f"])
-
-    got = sample.mapInArrow(sparse, "y int, f array<int>").toArrow()
+        for b in chunks(batches, 0, CHUNK_CHARS, ROWS):
+            place, total = occurrences(b.column(0), slot, len(top))
+            place, times = np.unique(place, return_counts=True)
+            doc = place // len(top)
+            at = pa.array(np.searchsorted(doc, np.arange(b.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in ((place % len(top)).astype(np.int32), density(times, total[doc]).astype(np.float32))]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *lists], names=["y", "k", "f", "v"])
+
+    # at most the sample's rows, in an order of their own
+    got = sample.select("t", "y", F.xxhash64("t").alias("k")).mapInArrow(sparse, "y int, k long, f array<int>, v array<float>").toArrow().sort_by([("k", "ascending"), ("y", "ascending")])
     y = got.column("y").to_numpy().astype(np.float64)
-    lists = got.column("f").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    n = np.diff(lists.offsets.to_numpy())
-    doc, feature = np.repeat(np.arange(len(y)), n), lists.flatten().to_numpy().astype(np.int64)
-    w, b = fit_logistic(doc, feature, y, ratio[top])
-    weight = w * ratio[top]
+    lists = [pa.chunked_array(got.column(c).chunks).combine_chunks() for c in ("f", "v")]
+    lists = [x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+    doc = np.repeat(np.arange(len(y)), np.diff(lists[0].offsets.to_numpy()))
+    feature, value = (x.flatten().to_numpy() for x in lists)
+    w, b = fit_logistic(doc, feature.astype(np.int64), value * ratio[top][feature], y, len(top))
     b += np.log(share[0]) - np.log(share[1])  # the sample holds the classes in other shares than the corpus
-    return ToxicityModel(slot, weight, float(b))
+    return ToxicityModel(slot, w * ratio[top], float(b))
 
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -169,7 +215,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text:
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, at):
+        for b in chunks(batches, at, CHUNK_CHARS, ROWS):
             s = shared.value.scores(b.column(at))
             keep = [i for i in range(b.num_columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*[b.schema.names[i] for i in keep], "score", "predicted"])

@@ -286,6 +286,33 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(none, nothing).count() == 0 and toxicity.score(odd, nothing).where("predicted = 1").count() == 0
 
 
+def test_toxicity_fit_is_converged():
+    rng = np.random.default_rng(12)
+    n, m = 300, 40
+    dense = rng.random((n, m)) * (rng.random((n, m)) < 0.4)
+    y = (dense @ rng.normal(size=m) > 0.1).astype(float)
+    doc, feature = np.nonzero(dense)
+    w, b = toxicity.fit_logistic(doc, feature, dense[doc, feature], y, m, 1e-3)
+    e = 1 / (1 + np.exp(-(dense @ w + b))) - y
+    first = np.append(dense.T @ (0.5 - y) / n, (0.5 - y).mean())
+    assert np.linalg.norm(np.append(dense.T @ e / n + 1e-3 * w, e.mean())) <= 1e-5 * np.linalg.norm(first)
+    # Newton's steps come to the same place
+    x, v = np.hstack([dense, np.ones((n, 1))]), np.zeros(m + 1)
+    l2 = np.append(np.full(m, 1e-3), 0)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ v))
+        v -= np.linalg.solve(x.T @ (x * (p * (1 - p) / n)[:, None]) + np.diag(l2 + 1e-12), x.T @ (p - y) / n + l2 * v)
+    assert np.allclose(np.append(w, b), v, atol=0.05 * np.abs(v).max())
+
+
+def test_toxicity_sees_density_not_length(spark):
+    rng = random.Random(18)
+    rows = [(prose(rng, 60) + " moron" * (6 if i % 4 == 0 else 0) + (" " + prose(rng, 3000) + " moron" if i % 8 == 1 else ""), int(i % 4 == 0)) for i in range(160)]
+    labelled = spark.createDataFrame(rows, "text string, toxic int")
+    got = toxicity.score(labelled, toxicity.train(labelled, "text", "toxic")).collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) >= 158
+
+
 def test_toxicity_labels_in_a_table_of_their_own(spark, none):
     rng = random.Random(9)
     rows = [(i, prose(rng, 40) + (" you wretched moron" if i % 4 == 0 else ""), "en", "a") for i in range(160)]
