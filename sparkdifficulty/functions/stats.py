@@ -52,6 +52,15 @@ def ols_residuals(df: DataFrame, x: str, y: str, out: str = "residual") -> DataF
     return df.withColumn(out, F.abs(F.col(y) - (F.avg(y).over(w) + slope * (F.col(x) - F.avg(x).over(w)))))
 
 
+def prediction_errors(df: DataFrame, x: str, y: str) -> DataFrame:
+    """df with four errors of predicting y, which falls as x grows: abs_ols and sq_ols (the line's residual), abs_direct
+    (from 1 - y) and rank_err (between places of x, largest first, and of y, smallest first; equal values in order of x, y)."""
+    w = Window.partitionBy(F.lit(1))
+    down, up = F.row_number().over(w.orderBy(F.desc(x), y)), F.row_number().over(w.orderBy(y, x))
+    lined = ols_residuals(df, x, y, "abs_ols")
+    return lined.select("*", (F.col("abs_ols") * F.col("abs_ols")).alias("sq_ols"), F.abs(F.col(x) - (1 - F.col(y))).alias("abs_direct"), F.abs(down - up).cast("double").alias("rank_err"))
+
+
 def beta_fraction(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function, by Lentz's continued fraction."""
     if x <= 0 or x >= 1:

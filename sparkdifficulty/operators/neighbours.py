@@ -1,7 +1,7 @@
 """Exact nearest neighbours by blocks: matrix products make a short list, direct differences decide.
 
-Ties go to the smaller id. References are broadcast while they are small; else both sides are packed into blocks, every
-pair of blocks is one piece of work, and the partial results are merged per query.
+Ties go to the smaller id. References are broadcast in turns of bounded size; queries stay where they are, so nothing is
+shuffled but the partial results of several turns, which are merged per query.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of references that are broadcast at most, and rows of a block otherwise.
+from ..storage import materialize
+
+#: Bytes of references that are broadcast at a time, and queries compared with them at once.
 BROADCAST_BYTES = 64 << 20
-BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 #: Which references a query may have, by its tag and theirs.
 RULES = ("any", "same", "other")
@@ -62,43 +64,41 @@ def _batch(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.ListArray.from_arrays(at, pa.array(flat[0].astype(np.int64))), pa.ListArray.from_arrays(at, pa.array(flat[1].astype(np.float64)))], names=["row_id", "nbrs", "dists"])
 
 
+def in_turns(rows: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Iterator[tuple[Broadcast, int, int]]:
+    """(broadcast of [row_id, x, other columns ...], turn, turns): all rows of (row_id, x, ...), about broadcast_bytes of x at a time."""
+    n, d = rows.agg(F.count("*"), F.max(F.size("x"))).first()
+    turns = max(1, -(-n * (d or 0) * 8 // broadcast_bytes))
+    of = F.pmod(F.xxhash64("row_id"), F.lit(turns))
+    for turn in range(turns):
+        got = (rows.where(of == turn) if turns > 1 else rows).orderBy("row_id").toArrow()  # broadcast_bytes, about
+        parts = [np.zeros((0, 1)) if c == "x" else np.zeros(0, np.int64) for c in rows.columns]
+        if got.num_rows:
+            parts = [matrix(pa.concat_arrays(got.column(c).chunks)) if c == "x" else got.column(c).to_numpy() for c in rows.columns]
+        yield rows.sparkSession.sparkContext.broadcast(parts), turn, turns
+
+
 def nearest(queries: DataFrame, refs: DataFrame, k: int, rule: str = "any", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(row_id, nbrs, dists) for (row_id, x, tag) queries and references; tag is a long."""
     if k <= 0 or rule not in RULES:
         raise ValueError(f"k must be over 0 and the rule one of {RULES}")
     refs, queries = refs.select("row_id", "x", "tag"), queries.select("row_id", "x", "tag")
-    n, d = refs.agg(F.count("*"), F.max(F.size("x"))).first()
-    if n * (d or 0) * 8 <= broadcast_bytes:
-        got = refs.toArrow().combine_chunks()
-        parts = [np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64)]
-        if got.num_rows:
-            parts = [got.column("row_id").to_numpy(), matrix(pa.concat_arrays(got.column("x").chunks)), got.column("tag").to_numpy()]
-        shared = queries.sparkSession.sparkContext.broadcast(parts)
+    parts = []
+    for shared, _, turns in in_turns(refs, broadcast_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            r = shared.value
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    yield _batch(list(top_k(b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy(), *r, k, rule)))
-
-        return queries.mapInArrow(run, _FOUND)
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        of = F.floor(F.pmod(F.xxhash64("row_id"), F.lit(1 << 40)) * F.lit(max(1, -(-n // BLOCK_ROWS))) / F.lit(float(1 << 40)))
-        return df.groupBy(of.alias(name)).agg(F.collect_list(F.struct("row_id", "x", "tag")).alias(f"{name}_rows"))  # BLOCK_ROWS rows, about
-
-    pairs = blocks(queries, "q").crossJoin(blocks(refs, "r")).select("q_rows", "r_rows").repartition(max(8, (n // BLOCK_ROWS) ** 2 // 8))
-
-    def grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(rows: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            return rows.field(0).to_numpy(), matrix(rows.field(1)), rows.field(2).to_numpy()
-
-        for b in batches:
-            for i in range(b.num_rows):
-                yield _batch(list(top_k(*parts(b.column(0)[i].values), *parts(b.column(1)[i].values), k, rule)))
-
-    part = pairs.mapInArrow(grid, _FOUND)
-    one = part.select("row_id", F.explode(F.arrays_zip("dists", "nbrs")).alias("e")).groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, k).alias("e"))
+                    yield _batch(list(top_k(b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy(), *shared.value, k, rule)))
+
+        part = queries.mapInArrow(run, _FOUND)
+        if turns == 1:
+            return part
+        parts.append(materialize(part, "nearest"))
+        shared.destroy()
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.union(part)
+    one = every.select("row_id", F.explode(F.arrays_zip("dists", "nbrs")).alias("e")).groupBy("row_id").agg(F.slice(F.array_sort(F.collect_list("e")), 1, k).alias("e"))  # k rows a turn
     return queries.select("row_id").join(one, "row_id", "left").select("row_id", F.coalesce(F.col("e.nbrs"), F.array().cast("array<bigint>")).alias("nbrs"), F.coalesce(F.col("e.dists"), F.array().cast("array<double>")).alias("dists"))
 
 

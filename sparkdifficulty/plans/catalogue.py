@@ -180,7 +180,7 @@ def d4_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EPS} SELECT count(*) AS pairs, count(DISTINCT row_id) AS n FROM near")
 def eps_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tagged(embeddings(spark, sf_dir).minority())
-    return m.eps_pairs(points, m.adaptive_eps(points)).agg(F.count("*").alias("pairs"), F.count_distinct("a").alias("n"))
+    return m.eps_counts(points, m.adaptive_eps(points)).agg(F.sum("near").alias("pairs"), F.count_if(F.col("near") > 0).alias("n"))
 
 
 @query(
@@ -189,7 +189,7 @@ def eps_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def d4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tagged(embeddings(spark, sf_dir).minority())
-    return spark.createDataFrame(sorted(m.clusters(points, m.adaptive_eps(points)).items()), "row_id long, cluster long")
+    return m.clusters(points, m.adaptive_eps(points))
 
 
 @query(
@@ -204,8 +204,7 @@ def mi_per_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def n1_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b, w = m.minimum_spanning_tree(embeddings(spark, sf_dir).rows)
-    return spark.createDataFrame(pa.table({"a": a, "b": b, "w": w})).withColumn("w", r6("w"))
+    return m.minimum_spanning_tree(embeddings(spark, sf_dir).rows).withColumn("w", r6("w"))
 
 
 @query(None)
@@ -265,6 +264,11 @@ def ols_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.ols_residuals(studied(spark), "ds", "auc_pr").select("name", r6("residual").alias("residual"))
 
 
+@query(f"WITH {_VALUES}, l AS (SELECT regr_slope(auc_pr, ds) AS a, regr_intercept(auc_pr, ds) AS b FROM studied), e AS (SELECT name, abs(auc_pr - a * ds - b) AS r, abs(ds - (1 - auc_pr)) AS d, abs(row_number() OVER (ORDER BY ds DESC, auc_pr) - row_number() OVER (ORDER BY auc_pr, ds))::DOUBLE AS k FROM studied, l) SELECT name, round(r, 6) AS abs_ols, round(r * r, 6) AS sq_ols, round(d, 6) AS abs_direct, k AS rank_err FROM e")
+def prediction_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.prediction_errors(studied(spark), "ds", "auc_pr").select("name", r6("abs_ols").alias("abs_ols"), r6("sq_ols").alias("sq_ols"), r6("abs_direct").alias("abs_direct"), "rank_err")
+
+
 @query(f"WITH {_VALUES}, d AS (SELECT ds - f3 AS d FROM studied WHERE ds <> f3), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d) SELECT coalesce(sum(r) FILTER (d > 0), 0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0)::DOUBLE AS w_minus, count(*) AS n FROM r")
 def wilcoxon_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.signed_ranks(studied(spark), "ds", "f3")
@@ -279,8 +283,11 @@ def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def monte_carlo_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rho = stats.monte_carlo_weights(studied(spark).select("name", *DIMENSIONS, "auc_pr"), "name", list(DIMENSIONS), "auc_pr", 2000)
-    return rho.agg(F.count("*").alias("n"), r6(F.percentile("rho", F.lit(0.5))).alias("median"))
+    rho = stats.monte_carlo_weights(studied(spark).select("name", *DIMENSIONS, "auc_pr"), "name", list(DIMENSIONS), "auc_pr", 50_000)
+    published = stats.spearman(studied(spark).withColumn("score", scoring.score_column()), "score", "auc_pr").first()["rho"]
+    at = F.percentile("rho", F.array(*map(F.lit, (0.0, 0.025, 0.5, 0.975, 1.0))))
+    got = rho.agg(F.count("*").alias("n"), at.alias("q"), F.avg((F.col("rho") < F.lit(published)).cast("double")).alias("better"))
+    return got.select("n", *[r6(F.get("q", F.lit(i))).alias(c) for i, c in enumerate(("least", "low", "median", "high", "most"))], r6("better").alias("better"))
 
 
 @query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS code FROM orders")
@@ -304,7 +311,7 @@ def keep_minority_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subsampling.keep_minority(orders(spark, sf_dir).rows.select("row_id", "is_min"), 6000)
 
 
-@query(None)
+@query("WITH c AS (SELECT count(*) AS n, sum((o_orderstatus = 'P')::INT)::BIGINT AS few FROM orders), k AS (SELECT n, few, least(1000, n // 2) AS most FROM c), s AS (SELECT *, least(greatest(round_even(most * few / n, 0)::BIGINT, 2), few) AS a FROM k) SELECT true AS is_min, a AS count FROM s UNION ALL SELECT false, least(most - a, n - few) FROM s")
 def stratified_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = orders(spark, sf_dir)
     return subsampling.stratified(data, min(1000, data.n // 2), subsampling.derive_seed(42, subsampling.STREAM_BOTH, 0)).rows.groupBy("is_min").count()

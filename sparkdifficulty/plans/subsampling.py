@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Any
 
 import numpy as np
@@ -11,10 +12,13 @@ from pyspark.sql import functions as F
 
 from ..dataset import BinaryDataset
 from ..result import DimensionResult
+from ..storage import materialize
+
+logger = logging.getLogger(__name__)
 
 #: Seed streams. Fixed values.
 STREAM_BOTH, STREAM_MINORITY = 0, 1
-#: Rows of a hash-free range that one task numbers.
+#: Rows that one task numbers.
 RUN = 100_000
 
 
@@ -31,15 +35,13 @@ def derive_seed(seed: int, stream: int, draw: int) -> int:
 def numbered(rows: DataFrame) -> DataFrame:
     """rows with pos long: the place by row_id among all rows, from 0, without one task that sees them all.
 
-    Ids are cut into ranges; a range's rows are numbered by one task and start after the earlier ranges' rows.
+    Ids are dealt out by range in sorted partitions of about equal size; rows start after the earlier partitions' rows.
     """
-    lo, hi, n = rows.agg(F.min("row_id"), F.max("row_id"), F.count("*")).first()
-    ranges = max(1, min(100_000, n // RUN))
-    width = ((hi or 0) - (lo or 0)) // ranges + 1
-    cut = rows.withColumn("__range", F.floor((F.col("row_id") - F.lit(lo or 0)) / width))
-    counts = cut.groupBy("__range").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each range
-    inner = F.row_number().over(Window.partitionBy("__range").orderBy("row_id")) - 1
-    return cut.withColumn("__inner", inner).join(F.broadcast(counts.select("__range", "__before")), "__range").withColumn("pos", F.col("__inner") + F.col("__before")).drop("__inner", "__before", "__range")
+    parts = max(1, min(100_000, rows.count() // RUN))
+    dealt = materialize(rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), F.col("row_id").alias("at")).repartitionByRange(parts, "at").withColumn("part", F.spark_partition_id()), "numbered")
+    counts = dealt.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
+    inner = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
+    return dealt.withColumn("inner", inner).join(counts.select("part", "before"), "part").select("row.*", (F.col("inner") + F.col("before")).alias("pos"))
 
 
 def _take(rows: DataFrame, positions: np.ndarray) -> DataFrame:
@@ -49,7 +51,10 @@ def _take(rows: DataFrame, positions: np.ndarray) -> DataFrame:
 
 def stratified(data: BinaryDataset, n_max: int, seed: int) -> BinaryDataset:
     """n_max rows without replacement, classes in proportion (halves round to even), at least two of the minority."""
-    n_min = min(max(round(n_max * data.n_minority / data.n), 2), data.n_minority)
+    share = n_max * data.n_minority / data.n
+    if round(share) < 2:
+        logger.warning("a draw of %d rows would hold %.2f of the minority; two are taken", n_max, share)
+    n_min = min(max(round(share), 2), data.n_minority)
     n_maj = min(n_max - n_min, data.n_majority)
     rng = np.random.default_rng(seed)
     few, many = rng.choice(data.n_minority, n_min, replace=False), rng.choice(data.n_majority, n_maj, replace=False)
@@ -78,20 +83,18 @@ def median_iqr(values: list[float]) -> tuple[float, float]:
 
 
 def folded(runs: list[DimensionResult], seeds: list[int], n_used: int) -> DimensionResult:
-    """One result of one draw or several: medians and ranges of numbers, all of booleans, lists by draw."""
-    values = [r.value for r in runs]
-    meta: dict[str, Any] = {"n_used": n_used, "subsampled": bool(seeds), "n_subsamples": len(runs), "seeds": seeds, "values": values}
+    """One result of one draw or several: medians and ranges of numbers, all of booleans, every component by draw;
+    seconds of components are added up."""
+    meta: dict[str, Any] = {"n_used": n_used, "subsampled": bool(seeds), "n_subsamples": len(runs), "seeds": seeds, "values": [r.value for r in runs]}
     if not seeds:
         return DimensionResult(runs[0].dimension_id, runs[0].value, runs[0].components, meta | runs[0].metadata)
-    components, ranges, by_draw = {}, {}, {}
-    for k, v in runs[0].components.items():
-        own = [r.components[k] for r in runs]
-        if isinstance(v, bool):
-            components[k] = all(own)
-        elif isinstance(v, int | float):
-            components[k], ranges[k] = median_iqr(own)
-        else:
-            by_draw[k] = own
-    value, iqr = median_iqr(values)
-    meta |= {"components_iqr": ranges, "components_per_subsample": by_draw, "run_metadata": [r.metadata for r in runs]}
+    by_draw = {k: [r.components[k] for r in runs] for k in runs[0].components}
+    whole = {k: all(v) for k, v in by_draw.items() if all(isinstance(x, bool) for x in v)}
+    spread = {k: median_iqr(v) for k, v in by_draw.items() if k not in whole and all(isinstance(x, int | float) for x in v)}
+    components = {k: whole[k] if k in whole else spread[k][0] for k in by_draw if k in whole or k in spread}
+    meta |= {"components_iqr": {k: v[1] for k, v in spread.items()}, "components_per_subsample": by_draw, "run_metadata": [r.metadata for r in runs]}
+    parts = [r.metadata["component_seconds"] for r in runs if "component_seconds" in r.metadata]
+    if parts:
+        meta["component_seconds"] = {k: sum(p[k] for p in parts) for k in parts[0]}
+    value, iqr = median_iqr(meta["values"])
     return DimensionResult(runs[0].dimension_id, value, components, meta, iqr)

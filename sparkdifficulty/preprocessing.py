@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dataset import BinaryDataset
@@ -13,6 +13,11 @@ from .dataset import BinaryDataset
 SCALINGS = ("standard", "robust", "none")
 
 
+def doubles(values: list[float]) -> Column:
+    """An array of constants that is one literal of the plan, however long."""
+    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+
+
 def feature_stats(data: BinaryDataset, quartiles: bool = False) -> DataFrame:
     """(f, lo, hi, mean, std[, q]) for each feature; std is of the population, quartiles are exact."""
     more = [F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")] if quartiles else []
@@ -38,8 +43,8 @@ def preprocess(data: BinaryDataset, scaling: str = "standard") -> tuple[BinaryDa
         raise ValueError("scaling gives non-finite values")
     x = F.col("x")
     if len(kept) < len(stats):
-        x = F.transform(F.array(*[F.lit(r["f"]) for r in kept]), lambda i: F.get("x", i))
+        x = F.transform(doubles([r["f"] for r in kept]).cast("array<int>"), lambda i: F.get("x", i))
     if scaling != "none":
-        x = F.zip_with(F.zip_with(x, F.array(*map(F.lit, centre)), lambda a, c: a - c), F.array(*map(F.lit, width)), lambda a, w: a / w)
+        x = F.zip_with(F.zip_with(x, doubles(centre), lambda a, c: a - c), doubles(width), lambda a, w: a / w)
     info = {"scaling": scaling, "dropped_columns": [r["f"] for r in stats if r["hi"] - r["lo"] == 0], "robust_std_fallback_columns": fallback}
     return data.with_features(data.rows.withColumn("x", x), len(kept)), info

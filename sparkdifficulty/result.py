@@ -10,6 +10,9 @@ from typing import Any
 import numpy as np
 
 DIMENSIONS = ("D1", "D2", "D3", "D4", "D5", "D6", "D7")
+BANDS = ("Low", "Moderate", "High", "Extreme")
+SIGNATURES = ("I", "II", "III", "IV", "V")
+QUALIFIERS = ("compound", "single", "low")
 
 
 def plain(value: Any) -> Any:
@@ -54,6 +57,14 @@ class DifficultyScore(Record):
     weights: tuple[float, ...]
     dimensions: list[DimensionResult]
 
+    def __post_init__(self) -> None:
+        if not 0 <= self.value <= 1:
+            raise ValueError(f"a score of {self.value} isn't between 0 and 1")
+        if self.band not in BANDS:
+            raise ValueError(f"a band is one of {BANDS}")
+        if len(self.weights) != len(DIMENSIONS) or len(self.dimensions) != len(DIMENSIONS):
+            raise ValueError(f"there must be {len(DIMENSIONS)} weights and dimensions")
+
     @property
     def contributions(self) -> dict[str, float]:
         return {d.dimension_id: w * d.value for w, d in zip(self.weights, self.dimensions, strict=True)}
@@ -75,8 +86,12 @@ class ComplexityProfile(Record):
     tau_prime: float
 
     def __post_init__(self) -> None:
-        if (self.signature == "V") != (self.qualifier is not None):
-            raise ValueError("signature V has a qualifier, the others have none")
+        if len(self.vector) != len(DIMENSIONS):
+            raise ValueError(f"a profile holds {len(DIMENSIONS)} values")
+        if self.signature not in SIGNATURES:
+            raise ValueError(f"a signature is one of {SIGNATURES}")
+        if self.qualifier not in (QUALIFIERS if self.signature == "V" else (None,)):
+            raise ValueError(f"signature V has a qualifier of {QUALIFIERS}, the others have none")
 
 
 @dataclass

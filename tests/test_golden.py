@@ -30,11 +30,18 @@ def correlated_high_dim():
     return x, 100
 
 
+def heterogeneous_scales():
+    rng = np.random.default_rng(204)
+    x = np.vstack([rng.normal(0.8, 1.0, (50, 8)), rng.normal(0.0, 1.0, (1450, 8))])
+    return x * np.array([1e-2, 1.0, 5.0, 1e2, 1e3, 0.5, 20.0, 1e4]), 50
+
+
 #: D1, D2, D3, D4, spectral entropy, D6, D7. Fixed values.
 GOLDEN = {
     gaussian_overlap: (0.3499775783516459, 0.3153333333333333, 0.15666666666666668, 0.26629103398061366, 0.9628743029201012, 0.8111956588719046, 0.21333247451532134),
     fragmented_minority: (0.5310044064107188, 0.16533333333333333, 0.0, 0.4309070464338198, 0.9974964237670236, 0.6927446876082177, 0.3746142167588723),
     correlated_high_dim: (0.18872187554086717, 0.6011666666666666, 0.5533333333333333, 0.2557309901338418, 0.6029065205342383, 0.9814158803054054, 0.23785549947484672),
+    heterogeneous_scales: (0.7891576996814679, 0.3036, 0.9, 0.47162225319020745, None, 0.9383292247135816, 0.17076620152375213),
 }
 
 
@@ -50,14 +57,15 @@ def test_golden(spark, case):
     want = GOLDEN[case]
     for i, d in enumerate(got):
         value = d.components["spectral_entropy_norm"] if d.dimension_id == "D5" else d.value
-        assert value == pytest.approx(want[i], abs=1e-9), d.dimension_id
+        # the linear machine's exact optimum may place a row or two of badly scaled columns on the other side
+        near = 1e-9 if case is not heterogeneous_scales or i < 6 else 1 / data.n
+        assert want[i] is None or value == pytest.approx(want[i], abs=near), d.dimension_id
 
 
 def test_tree_is_the_minimum(spark):
     rng = np.random.default_rng(5)
     x = np.round(rng.normal(size=(250, 3)), 1)  # with ties and copies
     data = dataset(spark, x, 50)
-    a, b, w = m.minimum_spanning_tree(data.rows)
     pairs = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), i, j) for i in range(250) for j in range(i + 1, 250))
     up = list(range(250))
 
@@ -71,7 +79,8 @@ def test_tree_is_the_minimum(spark):
         if find(i) != find(j):
             up[find(i)] = find(j)
             tree.add((i, j))
-    assert {(int(i), int(j)) for i, j in zip(a, b, strict=True)} == tree
+    for block, most in ((2048, 1 << 26), (40, 1 << 26), (40, 2000)):
+        assert {(r["a"], r["b"]) for r in m.minimum_spanning_tree(data.rows, block, most).collect()} == tree
 
 
 def test_draws(spark):
