@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,6 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialize, shared_dir
+
+__all__ = ["CHUNK_CHARS", "Grams", "Tokens", "char_grams", "chunks", "crc_mod", "discard", "give_back", "hash_fraction", "letters_only", "load", "materialize", "mix64", "shared_dir", "tokens"]
+
 #: Code points of one chunk of texts that a Python worker handles at once; a longer text is a chunk alone.
 CHUNK_CHARS = 1_000_000
 
@@ -24,39 +26,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a folder of this machine only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="sparkdifficulty-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, outlives lost executors.
-
-    The shuffle files behind df aren't needed any more then. Spark's cleaner removes those of unreachable plans when
-    the driver's JVM collects garbage, so ask for that.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.java.lang.System.gc()
-    table = spark.read.schema(df.schema).parquet(path)
-    table.materialized_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that no later plan reads."""
-    for t in tables:
-        jvm, conf = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(t.materialized_at)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def crc_mod(id_col: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -39,8 +39,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import chunks, discard, give_back, materialize, mix64
-from .components import components
 
 #: Shingles of the texts that one task holds at once.
 BLOCK_SHINGLES = 1_000_000
