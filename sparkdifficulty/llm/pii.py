@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,26 +118,48 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[int
 
 
 _FOUND = "array<struct<at:int,kind:int,upto:int>>"
-_TERMS = "array<struct<term:string,at:array<int>>>"
+#: Bytes of text whose terms are gathered at once.
+TERM_CHARS = 200_000
+
+
+def _lists(flat: pa.Array, counts: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
 
 
 def find_base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, base, entities, terms): each text's base spans, distinct entities, and, if it has any, its terms."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    span = pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("upto", pa.int32())])
-    place = pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))])
+    """Of each text a row (rid, id, base, entities) with its base spans and distinct entities, and, if it has any, a row
+    (rid, term, at) for each of its terms. rid is a number of the text; write the table before rid is used."""
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    id_type = own.limit(0).toArrow().schema.field(0).type
+    names = ["rid", "id", "base", "entities", "term", "at"]
+    kinds = [pa.int64(), id_type, pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("upto", pa.int32())])), pa.list_(pa.string()), pa.string(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, 1):
-            found, values, terms = [], [], []
-            for t in b.column(1).to_pylist():
-                spans = base_spans(t) if t else []
-                found.append([{"at": x, "kind": k, "upto": y} for x, k, y in spans])
-                values.append(sorted({entity(t, x) for x in spans}))
-                terms.append([{"term": w, "at": x} for w, x in terms_of(t, spans).items()] if spans else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(span)), pa.array(values, pa.list_(pa.string())), pa.array(terms, pa.list_(place))], names=["id", "base", "entities", "terms"])
-
-    return own.mapInArrow(run, f"id {dict(own.dtypes)['id']}, base {_FOUND}, entities array<string>, terms {_TERMS}")
+        rid = TaskContext.get().partitionId() << 33
+        for b in chunks(batches, 1, TERM_CHARS):
+            spans, n_spans, values, n_values, of, terms, places, n_places = [], [], [], [], [], [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                found = base_spans(t) if t else []
+                spans += found
+                n_spans.append(len(found))
+                own_values = sorted({entity(t, x) for x in found})
+                values += own_values
+                n_values.append(len(own_values))
+                if found:
+                    for term, at in terms_of(t, found).items():
+                        of.append(rid + i)
+                        terms.append(term)
+                        places += at
+                        n_places.append(len(at))
+            flat = np.array(spans, np.int32).reshape(-1, 3)
+            base = _lists(pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, j])) for j in range(3)], names=["at", "kind", "upto"]), n_spans)
+            rows = b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + rows)), b.column(0), base, _lists(pa.array(values, pa.string()), n_values), *[pa.nulls(rows, k) for k in kinds[4:]]], names=names)
+            if terms:
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *[pa.nulls(len(of), k) for k in kinds[1:4]], pa.array(terms, pa.string()), _lists(pa.array(places, pa.int32()), n_places)], names=names)
+            rid += rows
+
+    return own.mapInArrow(run, f"rid long, id {dict(own.dtypes)['id']}, base {_FOUND}, entities array<string>, term string, at array<int>")
 
 
 def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
@@ -171,17 +194,16 @@ def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
             pair = np.unique(np.repeat(doc[kept], times) * len(d.dictionary) + word[at])
             yield pa.RecordBatch.from_arrays([d.dictionary, pa.array(np.bincount(pair % len(d.dictionary), minlength=len(d.dictionary)))], names=["term", "df"])
 
-    counted = docs.select(text).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    counted = docs.select(F.col(f"`{text}`")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
     return counted.join(terms, "term", "left_semi")
 
 
-def disclosing(found: DataFrame, docs: DataFrame, text: str, n_docs: int) -> DataFrame:
+def disclosing(found: DataFrame, terms: DataFrame, docs: DataFrame, text: str, n_docs: int) -> DataFrame:
     """(rid, term, at, share): the terms that reach GENERALISE for an entity of their text, with their places and the
     largest share of an entity's information disclosed."""
     n = F.lit(float(n_docs))
     entities = found.select("rid", F.explode("entities").alias("entity"))
     entities = materialize(entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "pii-entities")
-    terms = found.select("rid", F.explode("terms").alias("x")).select("rid", "x.term", "x.at")
     df = term_frequency(docs, text, terms.select("term").distinct())
     within = terms.groupBy("term").agg(F.count_if(F.size("at") == 0).alias("within"))
     df = df.join(within, "term").select("term", (F.col("df") - F.col("within")).alias("df"))
@@ -204,8 +226,9 @@ def joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, base, spans): base spans and all spans, sorted arrays of (at, kind, upto)."""
-    found = materialize(find_base(docs, id_col, text).withColumn("rid", F.monotonically_increasing_id()), "pii-found")
-    told = disclosing(found, docs, text, found.count())
+    every = materialize(find_base(docs, id_col, text), "pii-found")
+    found, terms = every.where("base is not null").select("rid", "id", "base", "entities"), every.where("term is not null").select("rid", "term", "at")
+    told = disclosing(found, terms, docs, text, found.count())
     kind = F.when(F.col("share") >= REMOVE, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise")))
     # a term that discloses two entities is one span, of the stronger kind
     own = told.select("rid", kind.alias("kind"), F.length("term").alias("n"), F.explode("at").alias("at"))

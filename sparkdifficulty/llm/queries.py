@@ -121,18 +121,19 @@ took AS (SELECT doc_id, sum((least(a + size, ((block + 1) * source_size) // tape
 SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target, coalesce(taken, 0)::BIGINT AS taken, source FROM tape LEFT JOIN took USING (doc_id)
 """
 
-_LEAF = r"regexp_extract_all(%s, '[^\n.!?]{0,23}(?:[.!?]+ ?|\n|[^\n.!?])')"
-_LEAVES = f"list_transform({_LEAF}, lambda z: substr(md5(z), 1, 16))"
-_SECTIONS = "list_transform(list_filter(string_split(array_to_string(list_transform(%s, lambda z: z || CASE WHEN right(z, 1) IN ('0', '1') THEN '|' ELSE '' END), ''), '|'), lambda z: z <> ''), lambda z: substr(md5(z), 1, 16))"
-_PRINT = "md5(array_to_string({0}, '')) || ':' || array_to_string({0}, '')"
-_ALIKE = "CASE WHEN len(a) + len({0}) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(list_distinct(a), list_distinct({0}))) / (len(list_distinct(a)) + len(list_distinct({0}))) END::DOUBLE"
+_PIECES = r"array_to_string(list_transform(regexp_extract_all(p, '[^\n.!?]{0,23}(?:[.!?]+ ?|\n|[^\n.!?])'), lambda z: substr(md5(z), 1, 6)), '')"
+_PARAGRAPHS = r"list_transform(list_transform(regexp_extract_all(%s, '[^\n]*\n|[^\n]+'), lambda p: substr(md5(p), 1, 12) || '[' || " + _PIECES + r" || ']'), lambda q: q || CASE WHEN substr(q, 12, 1) IN ('0', '1', '2', '3') THEN '|' ELSE ',' END)"
+_TREE = r"array_to_string(list_transform(list_filter(string_split(array_to_string(" + _PARAGRAPHS + r", ''), '|'), lambda x: x <> ''), lambda x: substr(md5(regexp_replace(rtrim(x, ','), '\[[0-9a-f]*\]', '', 'g')), 1, 12) || '(' || rtrim(x, ',') || ')'), '')"
+_ROOTED = r"md5(regexp_replace({0}, '\([^)]*\)', '', 'g')) || ':' || {0}"
+_HELD = r"list_distinct(regexp_extract_all(array_to_string(regexp_extract_all({0}, '\[([0-9a-f]*)\]', 1), ''), '.{{6}}'))"
 _OP9 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT *, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS nxt FROM d),
 e AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nxt, 1, length(t) // 2) AS ed FROM n),
-v AS (SELECT doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, {_LEAVES % 't'} AS a, {_LEAVES % 'ed'} AS b, {_LEAVES % 'nxt'} AS c FROM e),
-s AS (SELECT *, {_SECTIONS % 'a'} AS sa, {_SECTIONS % 'b'} AS sb FROM v)
-SELECT doc_id, n_chars, edited_sha256, {_PRINT.format('sa')} AS fingerprint, {_PRINT.format('sb')} AS edited_fingerprint, {_ALIKE.format('b')} AS near_edited, {_ALIKE.format('c')} AS near_next FROM s
+v AS (SELECT doc_id, length(t) AS n_chars, sha256(ed) AS edited_sha256, {_TREE % 't'} AS a, {_TREE % 'ed'} AS b, {_TREE % 'nxt'} AS c FROM e),
+f AS (SELECT doc_id, n_chars, edited_sha256, {_ROOTED.format('a')} AS fingerprint, {_ROOTED.format('b')} AS edited_fingerprint, {_ROOTED.format('c')} AS next_fingerprint FROM v),
+s AS (SELECT *, {_HELD.format('fingerprint')} AS a, {_HELD.format('edited_fingerprint')} AS b, {_HELD.format('next_fingerprint')} AS c FROM f)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, CASE WHEN len(a) + len(b) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) END::DOUBLE AS near_edited, CASE WHEN len(a) + len(c) = 0 THEN 1.0 ELSE 2.0 * len(list_intersect(a, c)) / (len(a) + len(c)) END::DOUBLE AS near_next FROM s
 """
 
 ORACLE_SQL: dict[str, str] = {

@@ -230,6 +230,60 @@ def test_pii_terms_of_the_whole_text(spark):
     assert not any(found[i] for i in [*range(40), 101])
 
 
+def test_pii_shares_by_brute_force(spark):
+    """Which terms are spans, and of which kind, from texts alone: pointwise mutual information over the entity's information."""
+    import math
+
+    rng = random.Random(21)
+    vocabulary = [f"{a}{b}" for a in ("blue", "green", "stone", "river", "house") for b in ("", "ward", "land", "gate", "field", "mill")]
+    people = [f"person{i}@mail.org" for i in range(6)]
+    texts = []
+    for i in range(120):
+        words = [rng.choice(vocabulary[: 5 + i % 26]) for _ in range(rng.randrange(3, 14))]
+        if i % 4 == 0:
+            who = rng.randrange(6)
+            words[rng.randrange(len(words)) : 0] = [people[who].upper() if i % 8 else people[who], "alias" + "abcdef"[who]]
+        texts.append(" ".join(words) + (" aliasa" if i == 1 else ""))
+    n, terms, entities = len(texts), [], []
+    for t in texts:
+        spans = pii.base_spans(t)
+        entities.append({pii.entity(t, x) for x in spans})
+        bare = "".join(" " if any(a <= i < b for a, _, b in spans) else c for i, c in enumerate(t))
+        terms.append({m[0].lower() for m in re.finditer(r"[^\W\d_]+", bare) if len(m[0]) >= 4})
+    got = {r["doc_id"]: r["spans"] for r in pii.find(table(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        want = set()
+        for m in re.finditer(r"[^\W\d_]+", t):
+            term = m[0].lower()
+            if term not in terms[i] or any(a < m.end() and m.start() < b for a, _, b in pii.base_spans(t)):
+                continue
+            shares = []
+            for e in entities[i]:
+                of, df = sum(e in x for x in entities), sum(term in x for x in terms)
+                joint = sum(e in x and term in y for x, y in zip(entities, terms, strict=True))
+                shares.append(math.log2(joint * n / (df * of)) / math.log2(n / of))
+            if shares and max(shares) >= pii.GENERALISE:
+                want.add((m.start(), pii.KINDS.index("remove" if max(shares) >= pii.REMOVE else "generalise"), m.end()))
+        assert {(s["at"], s["kind"], s["upto"]) for s in got[i]} == want | set(pii.base_spans(t))
+        seen |= {k for _, k, _ in want}
+    assert seen == {4, 5}
+
+
+def test_pii_takes_time_linear_in_a_text():
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        t = " ".join(f"name{i} user{i}@host{i % 7}.org" for i in range(n))
+        began = time.perf_counter()
+        spans = pii.base_spans(t)
+        pii.terms_of(t, spans)
+        took.append(time.perf_counter() - began)
+        assert len(spans) == n
+    assert took[1] < 40 * took[0]
+
+
 MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -268,9 +322,56 @@ def test_merkle(spark, odd, none):
     edited = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
     assert got[2]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and 0 < got[2]["near_edited"] < 1
     assert got[4]["n_chars"] == 0 and got[4]["near_edited"] == 1.0
-    assert merkle.with_next(odd).count() == 7 and merkle.with_next(none).count() == 0
-    tree = merkle.tree(table(spark, rows[:1])).select(F.size(merkle.differing(F.col("leaves"), F.col("leaves")))).first()[0]
-    assert tree == 0
+    out = merkle.compare_edits(merkle.with_next(odd)).collect()
+    assert len(out) == 7 and merkle.with_next(none).count() == 0 and sum(r["n_chars"] == 0 for r in out) == 3
+    again = [(r["n_chars"], r["near_next"]) for r in out if r["doc_id"] == 2]
+    assert again[0] == again[1]  # equal rows share the next document
+
+
+def test_merkle_tree_from_the_text_alone(spark):
+    """The fingerprint by hand, and likeness from the two strings alone."""
+
+    def digest(x, n):
+        return hashlib.md5(x.encode()).hexdigest()[:n]
+
+    def tree(t):
+        sections, run = [], []
+        for line in re.findall(r"[^\n]*\n|[^\n]+", t):
+            d = digest(line, 12)
+            run.append(f"{d}[{''.join(digest(x, 6) for x in re.findall(merkle.LEAF, line))}]")
+            if d[-1] in "0123":
+                sections, run = [*sections, run], []
+        sections += [run] if run else []
+        done = [(digest(",".join(x.split("[")[0] for x in s), 12), ",".join(s)) for s in sections]
+        return digest("".join(d for d, _ in done), 32) + ":" + "".join(f"{d}({s})" for d, s in done)
+
+    def held(x):
+        return set(re.findall("[0-9a-f]{6}", "".join(re.findall(r"\[([0-9a-f]*)\]", x))))
+
+    rng = random.Random(31)
+    rows = [(i, "\n".join(prose(rng, rng.choice([0, 1, 5, 30])) + rng.choice(["", ".", "! é"]) for _ in range(rng.randrange(1, 12))), "", "") for i in range(40)] + [(40, "x" * 100_000 + "\n" * 500, "", "")]
+    got = {r["doc_id"]: r for r in merkle.compare_edits(merkle.with_next(table(spark, rows))).collect()}
+    for i, t, *_ in rows:
+        nxt = rows[(i + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        r = got[i]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (tree(t), tree(edited))
+        for column, other in (("near_edited", r["edited_fingerprint"]), ("near_next", got[(i + 1) % len(rows)]["fingerprint"])):
+            a, b = held(r["fingerprint"]), held(other)
+            assert r[column] == pytest.approx(2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0)
+
+
+def test_merkle_descends_to_the_edit(spark):
+    lines = [f"Paragraph {i} says this. And then that." for i in range(30)]
+    changed = [*lines]
+    changed[17] = "Paragraph 17 says this. And now something else."
+    both = spark.createDataFrame([("\n".join(lines), "\n".join(changed))], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
+    same, diff = both.select(merkle.differing(F.col("a"), F.col("a")).alias("x"), merkle.differing(F.col("b"), F.col("a")).alias("y")).first()
+    places = {(d["section"], d["paragraph"]) for d in diff}
+    assert same == [] and len(places) == 1 and [d["piece"] for d in diff] and None not in [d["piece"] for d in diff]
+    of = [len(re.findall(r"\[", s)) for s in re.findall(r"\([^)]*\)", both.first()["b"])]
+    (section, paragraph), = places
+    assert sum(of[:section]) + paragraph == 17
 
 
 def test_toxicity(spark, odd, none):
