@@ -186,6 +186,61 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def main_text(page, tree=None, without=()):
+    found = html_extract.blocks(page)
+    x = html_extract.features(found)
+    x[:, list(without)] = 0
+    return [b.text for b, k in zip(found, html_extract.is_main(tree or html_extract.train(), x), strict=True) if k]
+
+
+LONG = "a long enough sentence that belongs to the article of this page and says a good deal more than a menu or a notice would ever say"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</article>", ["Title", LONG]),
+        (f"<article><p>{LONG}</p><p class='side-by-side'>{LONG}</p></article>", [LONG, LONG]),
+        ("<article>" + "<span>" * 70 + f"{LONG}</article><footer><p>{LONG}</footer>", [LONG]),
+        (f'<article><p><a href="x>one</a> {LONG}</p><p title="y">{LONG}</p></article>', [f"one {LONG}", LONG]),
+        (f"<article><p>{'<b><i><u><s><em>' * 4} {LONG}<p>{LONG}</article>", [LONG, LONG]),
+        (f"<article><ul><li>{'<b>' * 20}one<li>two</ul><p>{LONG}</article>", ["one", "two", LONG]),
+        (f"<form><h2>Heading of it</h2><p>{LONG} {LONG}</p><p>{LONG} {LONG}</p><p>{LONG} {LONG}</p><p>Name</p></form>", ["Heading of it", *[f"{LONG} {LONG}"] * 3]),
+        (f"<div class=comments><article><p>{LONG}</p></article></div>", []),
+    ],
+)
+def test_html_pages(page, want):
+    assert main_text(page) == want
+
+
+def test_html_tree_fits_its_samples_and_uses_words_and_links():
+    x, y = html_extract.labelled()
+    tree = html_extract.train()
+    assert (html_extract.is_main(tree, x) == y.astype(bool)).all()
+    # each of words, links and container decides blocks: without it the tree fits worse
+    for gone in ([0, 2, 4], [1, 3, 5], [6]):
+        less = x.copy()
+        less[:, gone] = 0
+        assert (html_extract.is_main(html_extract.fit_tree(less, y), less) != y.astype(bool)).any()
+    # pages whose container says nothing, or says article where links do not
+    page = f"<div><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></div><div><p>{LONG}</p><p>{LONG}</p></div><div><a>Four</a></div><div><a>Five</a></div>"
+    assert main_text(page) == [LONG, LONG]
+    rows = "".join(f"<li><a href=/>{n}</a></li>" for n in ("one two", "three", "four five", "six seven"))
+    assert main_text(f"<article><p>{LONG}</p><ul>{rows}</ul><p>{LONG}</p></article>") == [LONG, LONG]
+
+
+def test_html_takes_time_linear_in_a_page():
+    import time
+
+    took = []
+    for n in (2000, 16_000):
+        page = "<article>" + "<li><b><p>some 'words\" here <a href=\"x>" * n
+        began = time.perf_counter()
+        html_extract.blocks(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 40 * took[0]
+
+
 @pytest.mark.parametrize("open_tag", ["<nav>", "<div class=comments>"])
 def test_html_closes_containers_over_many_open_tags(open_tag):
     words = "a long enough sentence that belongs to the article of this page"
