@@ -140,8 +140,8 @@ def blocks(page: str) -> list[Block]:
             if places.get(tag):
                 close(places[tag][-1])
             continue
-        if m[3].endswith("/") and not is_block:
-            continue
+        if m[3].endswith("/") and (m[3] == "/" or m[3][-2] in " \t\n\"'") and not is_block:
+            continue  # a slash after an unquoted value is the value's
         if is_block:
             last = barriers[-1] if barriers else -1
             if tag in SELF_CLOSING and tag != "p" and last >= 0 and stack[last][0] == tag:
