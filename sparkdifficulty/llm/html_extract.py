@@ -183,6 +183,8 @@ SAMPLES = (
     "nav(l1 l1 l2 l1) div.ad(p9) article(H9 P120 P1 P2 P70 P5) footer(p14)",
     "nav(l1 l2) div.ad(p24) article(P2 P1 P33) div.comments(p20 p31) footer(p9)",
     "article(H4 P60 l3 l4 l2 l5 P35) section.comments(p30 p50 p22)",
+    "article(H5 P28 l2 l1 l2 l2 P31)",
+    "main(P90 P24 l1 l2 l1 P40 l3 l1 l4)",
     "article(H4 P60 I3 I4 I2 I5 P35)",
     "article(H3 P2 M20 P15 P1) aside(p40 p55 p38)",
     "nav(l1 l1) article(P1) footer(p10)",
