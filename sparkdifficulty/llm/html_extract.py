@@ -41,7 +41,8 @@ MAIN_TAGS = frozenset(("article", "main"))
 #: Tags that a new one of the same kind ends, where the old one was left open.
 SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
+# a quoted value ends at a quote before white space, slash or end; one that holds a tag is taken as unclosed beyond 1,000 characters
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'<]|\"(?:[^\"<]*|[^\"]{0,1000})\"(?=[\s/>])|'(?:[^'<]*|[^']{0,1000})'(?=[\s/>]))*+(?=>|\Z)|[^>]*)(?:>|\Z)", re.S)
 _attr = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _words = re.compile(r"[a-z]+")
 _ends = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title")}
