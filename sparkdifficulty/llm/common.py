@@ -11,12 +11,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, shared_dir
 
-__all__ = ["CHUNK_CHARS", "Grams", "Tokens", "char_grams", "chunks", "crc_mod", "discard", "give_back", "hash_fraction", "letters_only", "load", "materialize", "mix64", "shared_dir", "tokens"]
+__all__ = ["CHUNK_CHARS", "LETTERS", "Grams", "Tokens", "char_grams", "chunks", "crc_mod", "discard", "give_back", "hash_fraction", "letters_only", "load", "materialize", "mix64", "shared_dir", "tokens"]
 
 #: Code points of one chunk of texts that a Python worker handles at once; a longer text is a chunk alone.
 CHUNK_CHARS = 1_000_000
@@ -93,12 +94,14 @@ def tokens(texts: pa.Array, lower: bool = True) -> Tokens:
 
 #: Marks the ends of a word among code points.
 EDGE = 2
-_not_letters = re.compile(r"[\W\d_]+")
+#: A run of letters (Unicode categories L and, with them, M).
+LETTERS = regex.compile(r"\p{M}*\p{L}[\p{L}\p{M}]*")
+_ascii_letters = re.compile(r"[A-Za-z]+")
 
 
 def letters_only(token: str) -> str:
     """The token's letters, runs of other characters between letters turned into one word edge."""
-    return _not_letters.sub("\x02", token).strip("\x02")
+    return "\x02".join((_ascii_letters if token.isascii() else LETTERS).findall(token))
 
 
 @dataclass

@@ -1,5 +1,8 @@
 """Language of mixed-language text: scripts narrow candidates, Viterbi over words labels spans.
 
+A word's candidates are the languages written in the script of most of its letters; the others are out, unless none is
+written in it. Letters of scripts without spaces between words (Han and the kana) are words of their own.
+
 Cases: a null text, or one without a letter, is `und` with score 0. Rows are kept one for one, repeated rows and
 null ids included (a null id is neither learned from nor held out). Without any labelled row all texts are `und`.
 Columns beside id, text and label are ignored, whatever their names.
@@ -13,20 +16,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grams, char_grams, chunks, hash_fraction, letters_only, tokens
+from .common import Grams, Tokens, char_grams, chunks, hash_fraction, letters_only, tokens
 
 BITS = 16
 ORDERS = range(1, 5)
-#: A model is fitted on at most about this many labelled rows of each language, and on this many languages.
+#: A model is fitted on at most about this many labelled rows of each language.
 TRAIN_ROWS = 2000
-MAX_LANGS = 256
 #: Nats that a change of language between two words costs.
 SWITCH = 6.0
-#: What a word costs in a language that isn't written in its script.
-WRONG_SCRIPT = 30.0
+#: What a word costs in a language that isn't a candidate: more than any path saves.
+RULED_OUT = 1e9
+#: Letters that are words of their own.
+ALONE = r"([\p{Han}\p{Hiragana}\p{Katakana}])"
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARABIC", "HEBREW", "DEVANAGARI", "THAI", "HANGUL", "HIRAGANA", "KATAKANA", "CJK", "OTHER")
 
 
@@ -39,12 +44,25 @@ _ascii = {chr(c): 0 for c in range(128)}
 
 
 def script_of_word(word: str, known: dict[str, int]) -> int:
-    """The script of the word's first letter; words of one script are the rule."""
-    ch = word[0]
-    s = known.get(ch)
-    if s is None:
-        s = known[ch] = script_of(ch)
-    return s
+    """The script of most of the word's letters; of the one that comes first, if several are as frequent."""
+    if word.isascii():
+        return 0
+    seen: dict[int, int] = {}
+    for ch in word:
+        s = known.get(ch)
+        if s is None:
+            s = known[ch] = script_of(ch) if ch.isalpha() else -1
+        if s >= 0:
+            seen[s] = seen.get(s, 0) + 1
+    return max(seen, key=seen.__getitem__) if seen else len(SCRIPTS) - 1
+
+
+def words_of(texts: pa.Array) -> Tokens:
+    """Tokens of the texts, with letters that are words of their own set apart."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    if pc.any(pc.match_substring_regex(texts, ALONE)).as_py():
+        texts = pc.replace_substring_regex(texts, ALONE, r" \1 ")
+    return tokens(texts)
 
 
 @dataclass
@@ -72,7 +90,7 @@ class LangModel:
         lls = np.add.reduceat(self.log_p[bucket], starts, axis=0) / np.float32(2.0)
         scripts = np.fromiter((script_of_word(w, known) for w in kept), dtype=np.int64, count=len(kept))
         may = self.written[scripts]
-        lls = lls - np.where(may | ~may.any(axis=1, keepdims=True), 0, WRONG_SCRIPT).astype(np.float32)
+        lls = lls - np.where(may | ~may.any(axis=1, keepdims=True), 0, RULED_OUT).astype(np.float32)
         out[at] = lls - lls.max(axis=1, keepdims=True)
         letters[at] = np.fromiter((len(w) - w.count("\x02") for w in kept), dtype=np.int64, count=len(kept))
         return out, letters
@@ -122,7 +140,7 @@ def _count_grams(langs: list[str]):
         scripts = np.zeros((len(langs), len(SCRIPTS)), dtype=np.int64)
         known = dict(_ascii)
         for b in chunks(batches, 0):
-            t = tokens(b.column(0))
+            t = words_of(b.column(0))
             lang = np.array([index[v] for v in b.column(1).to_pylist()], dtype=np.int64)
             doc = np.repeat(np.arange(b.num_rows), np.diff(t.offsets))
             words = [letters_only(x) for x in t.unique]
@@ -145,12 +163,12 @@ def _count_grams(langs: list[str]):
 def train(docs: DataFrame, text: str, lang: str, usable: Column, train_rows: int = TRAIN_ROWS) -> LangModel:
     """Fit gram log-probabilities and scripts on a repeatable sample: at most about train_rows rows per language."""
     rows = docs.where(usable & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("l").count().collect()  # a row for each language
     langs = sorted(r["l"] for r in sizes)
     if not langs:
         return LangModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(1.0, train_rows / r["count"]))])
-    sample = rows.where(hash_fraction("t") < share[F.col("l")])
+    sample = rows.where(hash_fraction("t") < share[F.col("l")]).distinct()  # copies of a text are drawn together and count once
     got = sample.mapInArrow(_count_grams(langs), "l int, kind string, at int, n long").groupBy("l", "kind", "at").agg(F.sum("n").alias("n")).toPandas()
     counts, scripts = np.zeros((len(langs), 1 << BITS)), np.zeros((len(langs), len(SCRIPTS)))
     for kind, into in (("g", counts), ("s", scripts)):
@@ -164,7 +182,7 @@ def train(docs: DataFrame, text: str, lang: str, usable: Column, train_rows: int
 
 def label_chunk(model: LangModel, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Per text: language with most letters, that share of the letters, and the number of spans."""
-    t = tokens(texts)
+    t = words_of(texts)
     emit, letters = model.emissions(t.unique)
     n_docs, k = len(t.offsets) - 1, len(model.langs)
     is_word = letters[t.codes] > 0

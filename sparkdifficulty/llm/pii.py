@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, letters_only, materialize, tokens
+from .common import LETTERS, chunks, letters_only, materialize, tokens
 
 #: The kinds in the order in which spans of one start are listed; the last two are the method's.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -45,7 +45,6 @@ _card = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _digit = re.compile(r"[0-9]")
 _not_digit = re.compile(r"[^0-9]+")
-_term = re.compile(r"[^\W\d_]+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -100,7 +99,7 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> dict[str, list[int
     """Where each term of the text starts outside the (sorted) spans; nowhere for a term that stands within them only."""
     places: dict[str, list[int]] = {}
     k, upto = 0, 0
-    for m in _term.finditer(text):
+    for m in LETTERS.finditer(text):
         a, b = m.span()
         if b - a < TERM_LETTERS:
             continue

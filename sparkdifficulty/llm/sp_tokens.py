@@ -4,6 +4,9 @@ The model's protobuf is parsed here, and the normaliser, the metaspace marker, t
 byte fallback are rebuilt: a unigram model keeps its scores, a BPE model's merges follow from its pieces' scores.
 Batches are encoded with several threads. parity() compares ids with the sentencepiece library.
 
+Where no piece crosses a word's start, each distinct word is encoded once. A BPE model's user-defined
+pieces are matched first, longest first, and nothing merges across them; a unigram model scores them by their length.
+
 Cases: a null text has null ids and null decoded text, an empty one no ids. Texts are taken whole. A text that the
 normaliser changes (say, one with control pieces' strings) decodes to its normalised form; `exact` tells whether the
 decoded text equals the text. Rows are kept one for one; columns beside the text pass through.
@@ -16,6 +19,7 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from typing import Any
 
 import numpy as np
@@ -134,7 +138,9 @@ def build_tokenizer(m: PieceModel):  # noqa: ANN201
         scores = {p: s for p, s, _ in m.pieces}
         model = models.BPE(vocab, _merges(mergeable, scores), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=20_000)
     elif m.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
+        # a user-defined piece scores by its bytes and the best piece, as the format has it
+        best = max((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+        model = models.Unigram([(p, len(p.encode()) * best - 0.1 if kind == USER_DEFINED else s) for p, s, kind in m.pieces], m.unk_id, m.byte_fallback)
     else:
         raise ValueError(f"no unigram or BPE model: kind {m.kind}")
     t = Tokenizer(model)
@@ -142,7 +148,8 @@ def build_tokenizer(m: PieceModel):  # noqa: ANN201
     if m.charsmap:
         steps.append(normalizers.Precompiled(m.charsmap))
     if m.squeeze_spaces:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
+        # spaces alone: other white space stays, and at the end markers go as spaces do
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex("^ +"), ""), normalizers.Replace(Regex(f"[ {SPACE}]+$"), "")]
     if m.dummy_prefix:
         steps.append(normalizers.Prepend(SPACE if m.escape_spaces else " "))
     if m.escape_spaces:
@@ -170,56 +177,75 @@ class Codec:
     """Encodes and decodes chunks of texts. Where words stay apart, each distinct word of a chunk is encoded once."""
 
     def __init__(self, data: bytes, threads: int) -> None:
+        from tokenizers import Tokenizer
+
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         self.model = parse_model(data)
         self.whole = build_tokenizer(self.model)
         self.by_word = words_stay_apart(self.model) and self.model.escape_spaces
-        if self.by_word:
-            from tokenizers import Tokenizer
-
-            self.word = Tokenizer(self.whole.model)
-            self.word.decoder = self.whole.decoder
-            self._forget()
+        self.word = Tokenizer(self.whole.model)
+        self.word.decoder = self.whole.decoder
+        self.own = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == USER_DEFINED and self.model.kind == BPE}
+        #: Whether a piece is its text; words of such pieces alone decode to themselves.
+        self.plain = np.array([kind in (NORMAL, USER_DEFINED) for _, _, kind in self.model.pieces], dtype=bool)
+        self._forget()
 
     def _forget(self) -> None:
-        """No word is known: known[word] is the word's place in (starts, same), whose ids are flat[starts[i]:starts[i + 1]]."""
-        self.known: dict[str, int] = {}
-        self.starts, self.same, self.flat = np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, np.int32)
+        """No word is known but user-defined pieces: known[word] is the word's place in (starts, same), whose ids are flat[starts[i]:starts[i + 1]]."""
+        self.known: dict[str, int] = {p: i for i, p in enumerate(self.own)}
+        self.starts, self.same, self.flat = np.arange(len(self.own) + 1), np.ones(len(self.own), bool), np.array(list(self.own.values()), np.int32)
 
     def _places(self, words: list[str]) -> np.ndarray:
         """The words' places, after the ids of those not yet known are found."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = [w for w in words if w not in self.known]
+        known = self.known
+        new = [w for w in words if w not in known]
         if new:
             ids = [e.ids for e in self.word.encode_batch_fast(new, add_special_tokens=False)]
-            back = self.word.decode_batch(ids, skip_special_tokens=False)
-            same = [y == w.replace(SPACE, " ")[w[:1] == SPACE and self.model.dummy_prefix :] for w, y in zip(new, back, strict=True)]
-            n = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(n.sum()))
-            self.known.update(zip(new, range(len(self.same), len(self.same) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(n)])
-            self.same, self.flat = np.concatenate([self.same, same]).astype(bool), np.concatenate([self.flat, flat])
-        return np.fromiter((self.known[w] for w in words), dtype=np.int64, count=len(words))
-
-    def normal(self, text: str) -> str:
+            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(n.sum()))
+            # words of bytes or unknown pieces are decoded to see whether they come back
+            odd = np.concatenate([[0], np.cumsum(~self.plain[flat])])
+            ends = np.cumsum(n)
+            same = odd[ends] == odd[ends - n]
+            some = np.flatnonzero(~same)
+            for i, y in zip(some, self.word.decode_batch([ids[i] for i in some], skip_special_tokens=False), strict=True):
+                w = new[i].replace(SPACE, " ") if self.model.escape_spaces else new[i]
+                same[i] = y == (w[1:] if w[:1] == " " and self.model.dummy_prefix else w)
+            known.update(zip(new, range(len(self.same), len(self.same) + len(new)), strict=True))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + ends])
+            self.same, self.flat = np.concatenate([self.same, same]), np.concatenate([self.flat, flat])
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def normal(self, texts: pa.Array) -> pa.Array:
+        """The texts as the model's normaliser leaves them."""
         m = self.model
         if m.charsmap:
-            return self.whole.normalizer.normalize_str(text)
+            return pa.array([self.whole.normalizer.normalize_str(x) for x in texts.to_pylist()], pa.large_string())
         if m.squeeze_spaces:
-            text = re.sub(" {2,}", " ", text).strip()
-        return (SPACE if m.dummy_prefix and text else "") + text.replace(" ", SPACE)
+            for pattern, by in ((" {2,}", " "), ("^ +", ""), (f"[ {SPACE}]+$", "")):
+                texts = pc.replace_substring_regex(texts, pattern, by)
+        if m.dummy_prefix:
+            texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        return pc.replace_substring(texts, " ", SPACE) if m.escape_spaces else texts
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(offsets, ids, exact): the texts' ids end to end, and whether decoding gives a text again."""
-        if not self.by_word or any(CUT in x for x in texts):
-            codes = [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
-            exact = np.array([y == x for x, y in zip(texts, self.decode(codes), strict=True)], dtype=bool)
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).cast(pa.large_string())
+        if pc.any(pc.match_substring(texts, CUT)).as_py():
+            listed = texts.to_pylist()
+            codes = [e.ids for e in self.whole.encode_batch_fast(listed, add_special_tokens=False)]
+            exact = np.array([y == x for x, y in zip(listed, self.decode(codes), strict=True)], dtype=bool)
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
             return offsets, np.array([i for c in codes for i in c], dtype=np.int32), exact
-        normal = [self.normal(x) for x in texts]
-        apart = pc.replace_substring_regex(pa.array(normal, pa.large_string()), f"([^{SPACE}]){SPACE}", f"\\1{CUT}{SPACE}")
+        apart = normal = self.normal(texts)
+        if self.own:
+            longest = "|".join(re.escape(p) for p in sorted(self.own, key=lambda p: (-len(p), p)))
+            apart = pc.replace_substring_regex(apart, f"({longest})", f"{CUT}\\1{CUT}")
+        if self.by_word:
+            apart = pc.replace_substring_regex(apart, f"([^{SPACE}]){SPACE}", f"\\1{CUT}{SPACE}")
         lists = pc.split_pattern(apart, CUT)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         d = lists.flatten().dictionary_encode()
@@ -228,11 +254,14 @@ class Codec:
         done = np.concatenate([[0], np.cumsum(times)])
         out = self.flat[np.repeat(self.starts[place] - done[:-1], times) + np.arange(done[-1])]
         odd = np.concatenate([[0], np.cumsum(~self.same[place])])
-        offsets = done[bounds]
-        exact = odd[bounds[1:]] == odd[bounds[:-1]]
-        for i in np.flatnonzero(~exact | np.array([SPACE in x or (x[:1] == " " and not self.model.dummy_prefix) or (self.model.squeeze_spaces or bool(self.model.charsmap)) for x in texts])):
-            exact[i] = self.decode([out[offsets[i] : offsets[i + 1]].tolist()])[0] == texts[i]
-        return offsets, out, exact
+        # decoding gives the normalised text, without the marker put before it
+        back = pc.replace_substring(normal, SPACE, " ") if self.model.escape_spaces else normal
+        if self.model.dummy_prefix:
+            back = pc.replace_substring_regex(back, "^ ", "")
+        exact = (odd[bounds[1:]] == odd[bounds[:-1]]) & pc.equal(back, texts).to_numpy(zero_copy_only=False)
+        if not self.by_word:
+            self._forget()
+        return done[bounds], out, exact
 
     def decode(self, codes: list[list[int]]) -> list[str]:
         return self.whole.decode_batch(codes, skip_special_tokens=False)
@@ -269,9 +298,8 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", threads: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, threads)
         for b in chunks(batches, at):
-            texts = b.column(at).to_pylist()
-            null = np.array([x is None for x in texts], dtype=bool)
-            offsets, flat, same = c.encode([x or "" for x in texts])
+            null = b.column(at).is_null().to_numpy(zero_copy_only=False)
+            offsets, flat, same = c.encode(pc.fill_null(b.column(at), ""))
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(null, False)), pa.array(flat))
             n = pa.array(np.diff(offsets), mask=null)
             exact = pa.array(same, mask=null)

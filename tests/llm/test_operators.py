@@ -49,6 +49,34 @@ def test_language(spark, odd, none):
     assert langid.identify(none, langid.train(none, "text", "lang", F.lit(True))).count() == 0
 
 
+def test_language_of_letters_and_scripts(spark):
+    rng = random.Random(2)
+    rows = [(i, prose(rng, 30), "en", "a") for i in range(20)] + [(20 + i, "привет мир как дела " * 8, "ru", "a") for i in range(5)]
+    rows += [(30 + i, "नमस्ते दुनिया यह हिन्दी है " * 6, "hi", "a") for i in range(5)] + [(40 + i, "今日は世界の天気がいい", "ja", "a") for i in range(5)]
+    model = langid.train(table(spark, rows), "text", "lang", F.lit(True))
+    texts = {"½ ²³ ①": "und", "": "und", "\u0301 \u0301": "und", "नमस्ते": "hi", "世界": "ja", "cafe\u0301 stone": "en", "мир": "ru"}
+    got = langid.identify(table(spark, [(i, t, None, "a") for i, t in enumerate(texts)]), model).collect()
+    assert [r["lang_pred"] for r in sorted(got)] == list(texts.values())
+    mixed = langid.identify(table(spark, [(1, "the stone house привет мир как 今日は世界の天気", None, "a")]), model).first()
+    assert mixed["n_spans"] == 3  # a word's script alone rules languages out
+    assert langid.letters_only("नमस्ते") == "नमस्ते" and langid.letters_only("e\u0301t½é") == "e\u0301t\x02é"
+
+
+def test_language_without_a_cap_on_languages(spark):
+    rows = [(i, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("ka", "lo", "mi")), f"l{i}", "a") for i in range(300)]
+    model = langid.train(table(spark, rows), "text", "lang", F.lit(True))
+    assert len(model.langs) == 300
+
+
+def test_language_held_out(spark):
+    """The query's model is right on rows that it doesn't learn from, and doesn't learn from those."""
+    from sparkdifficulty.llm import queries
+
+    got = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
+    n, right = got.agg(F.count("*"), F.count_if(F.col("lang_pred") == F.col("lang"))).first()
+    assert n > 200 and right >= 0.95 * n
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
     offsets = np.array([0, 4, 4, 9])
@@ -355,6 +383,43 @@ def test_sentencepiece(spark, odd, none):
     assert sp_tokens.encode(none, MODEL).count() == 0
 
 
+def piece_model(kind, pieces, squeeze, prefix=True, byte_fallback=False):
+    """The protobuf of a model with the given (piece, score, kind)s, written by hand."""
+    import struct
+
+    def field(number, value):
+        if isinstance(value, bytes):
+            return bytes([number << 3 | 2]) + varint(len(value)) + value
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        return varint(number << 3) + varint(value)
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    first = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{i:02X}>", 0.0, 6) for i in range(256)] if byte_fallback else [])
+    body = b"".join(field(1, field(1, p.encode()) + field(2, float(x)) + field(3, k)) for p, x, k in first + pieces)
+    return body + field(2, field(3, kind) + field(35, int(byte_fallback))) + field(3, field(1, b"identity") + field(3, int(prefix)) + field(4, int(squeeze)) + field(5, 1))
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("squeeze", [True, False])
+@pytest.mark.parametrize("more", [{}, {"prefix": False}, {"byte_fallback": True}])
+def test_sentencepiece_parity_of_hand_made_models(kind, squeeze, more):
+    words = ["th", "re", "he", "the", "▁the", "▁t", "ou", "se", "ho", "red", "▁red", "tree", "▁tr", "▁h", "ed", "ee"]
+    pieces = [(w, -1.0 - i / 4 if kind == 1 else -float(i), 1) for i, w in enumerate(words)] + [(c, -9.0 - i / 8 if kind == 1 else -50.0 - i, 1) for i, c in enumerate("▁thredousab.")]
+    pieces += [("house", 0.0, 4), ("redhouse", 0.0, 4)]
+    texts = ["the red house\n", "\tthe tree\n\n", "  the   red  ", "house", "housethehouse redhouse ahousea", "", " ", "   ", "the▁red▁", "xyz the q", "tree house ▁", "é the 日本", "housetree\nhouse"]
+    data = piece_model(kind, pieces, squeeze, **more)
+    assert [texts[i] for i in sp_tokens.parity(data, texts)] == []
+    codec = sp_tokens.Codec(data, 1)
+    offsets, ids, exact = codec.encode(texts)
+    assert [bool(x) for x in exact] == [y == t for t, y in zip(texts, codec.decode([ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]), strict=True)]
+
+
 def test_mixing(spark, odd, none):
     assert mixing.targets({"a": 100, "b": 100, "c": 100}) == {"a": 50.0, "b": 100.0, "c": 150.0}
     assert mixing.targets({"a": 1000, "b": 10, None: 0})["b"] == 30.0
