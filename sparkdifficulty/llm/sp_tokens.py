@@ -138,8 +138,8 @@ def build_tokenizer(m: PieceModel):  # noqa: ANN201
         scores = {p: s for p, s, _ in m.pieces}
         model = models.BPE(vocab, _merges(mergeable, scores), unk_token=m.pieces[m.unk_id][0], fuse_unk=True, byte_fallback=m.byte_fallback, cache_capacity=20_000)
     elif m.kind == UNIGRAM:
-        # a user-defined piece scores by its bytes and the best piece, as the format has it
-        best = max((s for _, s, kind in m.pieces if kind == NORMAL), default=0.0)
+        # a user-defined piece scores by its bytes and the best piece of a score over 0, as the format has it
+        best = max((s for _, s, kind in m.pieces if kind == NORMAL and s > 0), default=0.0)
         model = models.Unigram([(p, len(p.encode()) * best - 0.1 if kind == USER_DEFINED else s) for p, s, kind in m.pieces], m.unk_id, m.byte_fallback)
     else:
         raise ValueError(f"no unigram or BPE model: kind {m.kind}")
