@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product: NN-descent builds a neighbour graph, queries search it greedily.
 
-Equal vectors are one node. Nodes first get neighbours from cells around pivots; a cell of too many rows is split
+Equal vectors are one node. Between tasks a vector travels as a byte for each component and a scale; the graph and the
+search go by the products of these, and the best of what is found is scored again with the vectors themselves, in double
+precision and one order of components. Nodes first get neighbours from cells around pivots; a cell of too many rows is split
 around pivots of its own, again and again. Then neighbours of neighbours meet:
 every node's neighbourhood (its neighbours and the best of those that have it as a neighbour) is compared within
-itself, and a pair that beats a node's worst neighbour replaces it (NN-descent, Dong et al. 2011); rounds of Spark
-joins go on until few neighbours change. A query expands the best unexpanded candidates of its beam, join by join,
+itself, pairs with a new member alone, and a pair that beats a node's worst neighbour replaces it (NN-descent, Dong et al.
+2011); rounds of Spark joins go on until few neighbours change. Neighbourhoods without a new member don't meet again. A query expands the best unexpanded candidates of its beam, join by join,
 until none is left, and the beam's nodes are expanded to the rows that hold their vectors.
 
 Cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do null ids. Fewer rows
@@ -25,13 +27,13 @@ from .common import discard, materialize, mix64
 from .ngram_join import _grouped
 
 #: Neighbours of a node in the graph, reverse neighbours it meets, and the beam of a search.
-DEGREE = 40
-REVERSE = 40
-BEAM = 120
+DEGREE = 30
+REVERSE = 30
+BEAM = 200
 #: Candidates that a search expands in a step.
-EXPAND = 30
+EXPAND = 50
 #: The share of changed neighbours below which rounds of NN-descent end.
-SETTLED = 0.005
+SETTLED = 0.01
 #: Rounds of cells, pivots at most (their vectors are broadcast), rows of a cell for each pivot, and rows of a cell at most.
 CELLINGS = 4
 PIVOTS = 2048
@@ -46,9 +48,26 @@ def valid(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def _code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, x) with x as its scale, four bytes, and a byte for each component."""
+    for b in batches:
+        if b.num_rows:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+            scale = (np.abs(x).max(axis=1) / 127).astype(np.float32)
+            scale[scale == 0] = np.finfo(np.float32).tiny
+            whole = np.rint(np.clip(x / scale[:, None], -127, 127)).astype(np.int8)
+            coded = np.hstack([scale[:, None].view(np.int8), whole])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in coded], pa.binary())], names=["node", "x"])
+
+
 def _matrix(b: pa.RecordBatch, i: int) -> np.ndarray:
-    lists = b.column(i)
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1).astype(np.float64)
+    """The vectors of a column of codes."""
+    codes = b.column(i)
+    if not len(codes):
+        return np.zeros((0, 0))
+    at = np.frombuffer(codes.buffers()[1], np.int32)[codes.offset : codes.offset + len(codes) + 1]
+    rows = np.frombuffer(codes.buffers()[2], np.int8)[at[0] : at[-1]].reshape(len(codes), -1)
+    return rows[:, 4:] * np.ascontiguousarray(rows[:, :4]).view(np.float32).astype(np.float64)
 
 
 def _stack(held: list[pa.RecordBatch], i: int) -> np.ndarray:
@@ -137,14 +156,15 @@ def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge(k: int):  # noqa: ANN202
-    """Of rows sorted by u: the k best distinct neighbours of each u, and how many of them weren't in its old row."""
+    """Of rows sorted by u: the k best distinct neighbours of each u, and which of them weren't in its old row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v, sim, new = [], [], [], []
 
         def out() -> pa.RecordBatch:
             b = _links(u, v, sim)
-            return pa.RecordBatch.from_arrays([*b.columns, pa.array(new, pa.int64())], names=["u", "v", "sim", "new"])
+            flags = pa.ListArray.from_arrays(b.column(1).offsets, pa.array(np.concatenate(new) if new else np.zeros(0, bool)))
+            return pa.RecordBatch.from_arrays([*b.columns, flags], names=["u", "v", "sim", "new"])
 
         for key, held in _grouped(batches, 1):
             a = np.concatenate([b.column(1).flatten().to_numpy() for b in held])
@@ -156,7 +176,7 @@ def _merge(k: int):  # noqa: ANN202
             u.append(key[0])
             v.append(a[keep])
             sim.append(s[keep])
-            new.append(int((~np.isin(a[keep], old)).sum()))
+            new.append(~np.isin(a[keep], old))
             if len(u) >= 5000:
                 yield out()
                 u, v, sim, new = [], [], [], []
@@ -166,15 +186,17 @@ def _merge(k: int):  # noqa: ANN202
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare a node's neighbourhood within itself: pairs that beat the worse neighbours of one of the two."""
+    """Compare a node's neighbourhood, rows (w, m, new, worst, x), within itself: pairs with a new member that beat the worst
+    neighbour of one of the two."""
     u, v, sims = [], [], []
     for _, held in _grouped(batches, 1):
-        nodes, worst, x = _flat(held, 1), _flat(held, 2), _stack(held, 3)
-        nodes, at = np.unique(nodes, return_index=True)
-        worst, x = worst[at], x[at]
+        nodes, new, worst, x = _flat(held, 1), _flat(held, 2), _flat(held, 3), _stack(held, 4)
+        order = np.lexsort((~new, nodes))  # of a node's rows one that says it is new
+        nodes, at = np.unique(nodes[order], return_index=True)
+        new, worst, x = (c[order[at]] for c in (new, worst, x))
         sim = x @ x.T
         np.fill_diagonal(sim, -np.inf)
-        better = sim > worst[:, None]
+        better = (sim > worst[:, None]) & (new[:, None] | new)
         for i in np.flatnonzero(better.any(axis=1)):
             j = np.flatnonzero(better[i])
             u.append(int(nodes[i]))
@@ -195,44 +217,49 @@ def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merged(links: DataFrame, k: int) -> DataFrame:
-    return links.repartition("u").sortWithinPartitions("u").mapInArrow(_merge(k), f"{_LINKS}, new long")
+    return links.repartition("u").sortWithinPartitions("u").mapInArrow(_merge(k), f"{_LINKS}, new array<boolean>")
 
 
-def build_graph(nodes: DataFrame, degree: int = DEGREE) -> DataFrame:
-    """(u, v, sim): each node's neighbours; nodes is (node, x)."""
+def build_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int | None = None) -> DataFrame:
+    """(u, v, sim): each node's neighbours; nodes is (node, x), x coded. rounds: how many at most; all that it takes if None."""
     n = nodes.count()
     dealt = None
     for i in range(CELLINGS):
         few = nodes.orderBy(F.xxhash64("node", F.lit(i)), "node").limit(max(1, min(PIVOTS, n // CELL_ROWS))).select("x").toArrow()  # at most PIVOTS vectors
-        pivots = np.array(few.column("x").to_pylist(), dtype=np.float64)
-        if not len(pivots):
+        if not few.num_rows:
             return nodes.select(F.col("node").alias("u"), F.array().cast("array<bigint>").alias("v"), F.array().cast("array<double>").alias("sim"))
+        pivots = np.vstack([_matrix(b, 0) for b in few.to_batches()])
         pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
         near = nodes.mapInArrow(_cells(pivots, i), f"cell long, node long, x {dict(nodes.dtypes)['x']}")
         dealt = near if dealt is None else dealt.union(near)
     links = cells(dealt).repartition("cell").sortWithinPartitions("cell").mapInArrow(_in_cells, _LINKS)
-    graph = materialize(_merged(links.withColumn("old", F.lit(False)), degree).drop("new"), "graph")
-    while True:  # every change betters a node's neighbours, so it ends
-        edge = graph.select("u", F.explode(F.arrays_zip("v", "sim")).alias("e")).select("u", "e.v", "e.sim")
+    # which neighbours are new: at first all
+    graph = materialize(_merged(links.withColumn("old", F.lit(False)), degree), "graph")
+    while rounds is None or rounds > 0:  # every change betters a node's neighbours, so it ends
+        rounds = None if rounds is None else rounds - 1
+        edge = graph.select("u", F.explode(F.arrays_zip("v", "sim", "new")).alias("e")).select("u", "e.v", "e.sim", "e.new")
         w = Window.partitionBy("w").orderBy(F.desc("sim"), "m")
-        back = edge.select(F.col("v").alias("w"), F.col("u").alias("m"), "sim").withColumn("r", F.row_number().over(w)).where(F.col("r") <= REVERSE).select("w", "m")
-        meet = edge.select(F.col("u").alias("w"), F.col("v").alias("m")).union(back).union(graph.select(F.col("u").alias("w"), F.col("u").alias("m")))
+        back = edge.select(F.col("v").alias("w"), F.col("u").alias("m"), "sim", "new").withColumn("r", F.row_number().over(w)).where(F.col("r") <= REVERSE).select("w", "m", "new")
+        meet = edge.select(F.col("u").alias("w"), F.col("v").alias("m"), "new").union(back).union(graph.select(F.col("u").alias("w"), F.col("u").alias("m"), F.lit(False).alias("new")))
+        meet = materialize(meet.groupBy("w", "m").agg(F.bool_or("new").alias("new")), "meet")
+        stirred = meet.groupBy("w").agg(F.bool_or("new").alias("stirred")).where("stirred").select("w")
         worst = graph.select(F.col("u").alias("m"), F.when(F.size("sim") < degree, F.lit(float("-inf"))).otherwise(F.array_min("sim")).alias("worst"))
         own = nodes.select(F.col("node").alias("m"), "x").join(worst, "m", "left").select("m", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"), "x")
-        met = meet.join(own, "m").select("w", "m", "worst", "x").repartition("w").sortWithinPartitions("w").mapInArrow(_meet, _LINKS)
-        both = graph.withColumn("old", F.lit(True)).union(met.withColumn("old", F.lit(False)))
+        met = meet.join(stirred, "w", "left_semi").join(own, "m").select("w", "m", "new", "worst", "x").repartition("w").sortWithinPartitions("w").mapInArrow(_meet, _LINKS)
+        both = graph.drop("new").withColumn("old", F.lit(True)).union(met.withColumn("old", F.lit(False)))
         after = materialize(_merged(both, degree), "graph")
-        changed = after.agg(F.sum("new")).first()[0] or 0
-        discard(graph)
-        graph = after.drop("new")
-        graph.materialized_at = after.materialized_at
+        changed = after.agg(F.sum(F.size(F.filter("new", lambda x: x)))).first()[0] or 0
+        discard(graph, meet)
+        graph = after
         if changed <= SETTLED * degree * n:
-            return graph
+            break
+    return graph.drop("new")
 
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM) -> DataFrame:
     """(u, v, sim): the beam of each query node u after greedy search; queries is (u), nodes of the graph."""
     q = queries.select("u").distinct().join(nodes.withColumnRenamed("node", "u"), "u")
+    q = materialize(q, "asked")
     state = materialize(graph.join(queries.select("u").distinct(), "u", "left_semi").withColumn("done", F.array().cast("array<bigint>")), "beam")
     while True:  # every step expands nodes that it hasn't expanded before, so it ends
         todo = state.withColumn("next", F.slice(F.array_except("v", "done"), 1, EXPAND))
@@ -253,21 +280,25 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = B
             return state.select("u", "v", "sim")
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", rounds: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of each row for which is_query holds."""
-    own = vectors.where(F.col(id_col).isNotNull() & valid(F.col(vector))).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("x"), is_query.alias("q"))
+    x = F.col(f"`{vector}`")
+    own = vectors.where(F.col(f"`{id_col}`").isNotNull() & valid(x)).select(F.col(f"`{id_col}`").cast("long").alias("id"), x.alias("x"), is_query.alias("q"))
     lengths = own.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     own = own.where(F.size("x") == (lengths["n"] if lengths else 0)).withColumn("h", F.xxhash64("x")).withColumn("g", F.hash("x"))
     first = own.groupBy("h", "g").agg(F.min("id").alias("node"))
     rows = materialize(own.select("id", "h", "g", "q").distinct().join(first, ["h", "g"]).select("id", "node", "q"), "rows")
-    nodes = materialize(own.join(first.select(F.col("node").alias("id"), "h", "g"), ["id", "h", "g"], "left_semi").groupBy("id", "h", "g").agg(F.first("x").alias("x")).select(F.col("id").alias("node"), "x"), "nodes")
-    graph = build_graph(nodes, max(DEGREE, k))
+    whole = materialize(own.join(first.select(F.col("node").alias("id"), "h", "g"), ["id", "h", "g"], "left_semi").groupBy("id", "h", "g").agg(F.first("x").alias("x")).select(F.col("id").alias("node"), "x"), "nodes")
+    nodes = materialize(whole.mapInArrow(_code, "node long, x binary"), "codes")
+    graph = build_graph(nodes, max(DEGREE, k), rounds)
     asked = rows.where("q").select(F.col("node").alias("u")).distinct()
     found = search(graph, nodes, asked, max(BEAM, 2 * k))
-    # a node's rows, as many as a result can use; the query's own node is as near as its vector to itself
+    # the best of the beam are scored with the vectors themselves; the query's own node is as near as its vector to itself
+    best = found.select("u", F.explode(F.array_append(F.slice("v", 1, 2 * k), F.col("u"))).alias("v"))
+    both = best.join(whole.select(F.col("node").alias("u"), F.col("x").alias("a")), "u").join(whole.select(F.col("node").alias("v"), F.col("x").alias("b")), "v")
+    near = both.select("u", "v", F.aggregate(F.zip_with("a", "b", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, y: s + y).alias("sim"))
+    # a node's rows, as many as a result can use
     some = rows.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("r") <= k + 1).select("node", "id")
-    own_sim = asked.join(nodes, F.col("u") == F.col("node")).select("u", F.col("u").alias("v"), F.aggregate("x", F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")).alias("sim"))
-    near = found.select("u", F.explode(F.arrays_zip("v", "sim")).alias("e")).select("u", "e.v", "e.sim").union(own_sim)
     top = near.join(some, F.col("v") == F.col("node")).select("u", "id", "sim")
     top = top.withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "id"))).where(F.col("r") <= k + 1).groupBy("u").agg(F.sort_array(F.collect_list(F.struct("r", "id", "sim"))).alias("top"))  # k + 1 rows
     out = rows.where("q").select(F.col("id").alias("query_id"), F.col("node").alias("u")).join(top, "u")
