@@ -68,7 +68,8 @@ def root(print_: Column) -> Column:
 
 def pieces(print_: Column) -> Column:
     """The pieces' digests that a fingerprint holds, in order."""
-    return F.regexp_extract_all(F.regexp_replace(print_, r"^[0-9a-f]+:|[0-9a-f]+\(|[0-9a-f]+\[|[\]),]", ""), F.lit(f"[0-9a-f]{{{PIECE_DIGITS}}}"), F.lit(0))
+    held = F.array_join(F.regexp_extract_all(print_, F.lit(r"\[([0-9a-f]*)\]"), F.lit(1)), "")
+    return F.regexp_extract_all(held, F.lit(f"[0-9a-f]{{{PIECE_DIGITS}}}"), F.lit(0))
 
 
 def likeness(a: Column, b: Column) -> Column:

@@ -35,7 +35,7 @@ TERM_LETTERS = 4
 GENERALISE = 0.8
 REMOVE = 0.95
 #: Buckets of the bitmap of terms whose frequency is counted.
-TERM_BITS = 20
+TERM_BITS = 23
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -162,7 +162,7 @@ def find_base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """(term, df): in how many texts each of the given terms stands."""
+    """(term, df): in how many texts each of the given terms stands, and some others."""
     size = 1 << TERM_BITS
     buckets = terms.select((F.crc32(F.col("term").cast("binary")) % size).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()  # at most `size` numbers
     wanted = np.zeros(size, dtype=bool)
@@ -193,8 +193,7 @@ def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
             pair = np.unique(np.repeat(doc[kept], times) * len(d.dictionary) + word[at])
             yield pa.RecordBatch.from_arrays([d.dictionary, pa.array(np.bincount(pair % len(d.dictionary), minlength=len(d.dictionary)))], names=["term", "df"])
 
-    counted = docs.select(F.col(f"`{text}`")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return counted.join(terms, "term", "left_semi")
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
 
 
 def disclosing(found: DataFrame, terms: DataFrame, docs: DataFrame, text: str, n_docs: int) -> DataFrame:
@@ -203,7 +202,7 @@ def disclosing(found: DataFrame, terms: DataFrame, docs: DataFrame, text: str, n
     n = F.lit(float(n_docs))
     entities = found.select("rid", F.explode("entities").alias("entity"))
     entities = materialize(entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "pii-entities")
-    df = term_frequency(docs, text, terms.select("term").distinct())
+    df = term_frequency(docs, text, terms.select("term"))
     within = terms.groupBy("term").agg(F.count_if(F.size("at") == 0).alias("within"))
     df = df.join(within, "term").select("term", (F.col("df") - F.col("within")).alias("df"))
     # joint is n_entity at most, so a term of more texts than this can't reach GENERALISE for any entity of the text
