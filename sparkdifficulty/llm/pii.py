@@ -7,6 +7,8 @@ such a term in the texts that print the entity is a span; texts that don't print
 removed (information-theoretic sanitisation, Sanchez and Batet 2013). There is no least number of texts: an entity of
 one text is disclosed by the terms that stand in few other texts.
 
+Terms are compared by 64 bits of a hash; only their places stay with the texts, and are fetched for terms that are spans.
+
 Cases: a null text is as an empty one: no spans. Rows are kept one for one, repeated rows and null ids included; copies
 of a text count as texts on both sides of the share. Whole texts are searched, in time linear in their length. Columns
 beside id and text are ignored.
@@ -15,17 +17,17 @@ beside id and text are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, chunks, letters_only, materialize, tokens
+from .common import LETTERS, chunks, discard, letters_only, materialize, tokens
 
 #: The kinds in the order in which spans of one start are listed; the last two are the method's.
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
@@ -34,7 +36,7 @@ TERM_LETTERS = 4
 #: Shares of the entity's information disclosed.
 GENERALISE = 0.8
 REMOVE = 0.95
-#: Buckets of the bitmap of terms whose frequency is counted.
+#: Bits of the bitmaps that tell which terms are asked for.
 TERM_BITS = 23
 
 _domain = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -127,11 +129,11 @@ def _lists(flat: pa.Array, counts: list[int]) -> pa.ListArray:
 
 def find_base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Of each text a row (rid, id, base, entities) with its base spans and distinct entities, and, if it has any, a row
-    (rid, term, at) for each of its terms. rid is a number of the text; write the table before rid is used."""
+    (rid, h, n, at) for each of its terms: hash, length and places. rid is a number of the text; write the table before rid is used."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
     id_type = own.limit(0).toArrow().schema.field(0).type
-    names = ["rid", "id", "base", "entities", "term", "at"]
-    kinds = [pa.int64(), id_type, pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("upto", pa.int32())])), pa.list_(pa.string()), pa.string(), pa.list_(pa.int32())]
+    names = ["rid", "id", "base", "entities", "h", "n", "at"]
+    kinds = [pa.int64(), id_type, pa.list_(pa.struct([("at", pa.int32()), ("kind", pa.int32()), ("upto", pa.int32())])), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 33
@@ -155,65 +157,92 @@ def find_base(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             rows = b.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(rid, rid + rows)), b.column(0), base, _lists(pa.array(values, pa.string()), n_values), *[pa.nulls(rows, k) for k in kinds[4:]]], names=names)
             if terms:
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *[pa.nulls(len(of), k) for k in kinds[1:4]], pa.array(terms, pa.string()), _lists(pa.array(places, pa.int32()), n_places)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), *[pa.nulls(len(of), k) for k in kinds[1:4]], pa.array(hashes(terms).view(np.int64)), pa.array([len(x) for x in terms], pa.int32()), _lists(pa.array(places, pa.int32()), n_places)], names=names)
             rid += rows
 
-    return own.mapInArrow(run, f"rid long, id {dict(own.dtypes)['id']}, base {_FOUND}, entities array<string>, term string, at array<int>")
+    return own.mapInArrow(run, f"rid long, id {dict(own.dtypes)['id']}, base {_FOUND}, entities array<string>, h long, n int, at array<int>")
+
+
+def hashes(terms: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in terms), dtype=np.uint64, count=len(terms))
+
+
+def _bitmap(h: DataFrame) -> np.ndarray:
+    """Of a column h of hashes: 2**TERM_BITS bits, whatever the corpus, that tell which first bits occur."""
+    at = F.shiftrightunsigned("h", 64 - TERM_BITS)
+    words = h.groupBy(F.shiftright(at, 5).alias("w")).agg(F.bit_or(F.expr(f"1L << cast(shiftrightunsigned(h, {64 - TERM_BITS}) & 31 as int)")).alias("bits")).toArrow()
+    out = np.zeros(1 << (TERM_BITS - 5), dtype=np.uint32)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = (h >> np.uint64(64 - TERM_BITS)).astype(np.int64)
+    return (bitmap[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1
 
 
 def term_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
-    """(term, df): in how many texts each of the given terms stands, and some others."""
-    size = 1 << TERM_BITS
-    buckets = terms.select((F.crc32(F.col("term").cast("binary")) % size).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()  # at most `size` numbers
-    wanted = np.zeros(size, dtype=bool)
-    wanted[buckets] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    """(h, df): in how many texts each of the given terms (h) stands, and some others."""
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask = np.unpackbits(shared.value).astype(bool)
         for b in chunks(batches, 0):
             t = tokens(b.column(0))
             of, words = [], []
             for i, token in enumerate(t.unique):
                 for w in letters_only(token).split("\x02"):
-                    if len(w) >= TERM_LETTERS and ask[zlib.crc32(w.encode("utf-8", "surrogatepass")) % size]:
+                    if len(w) >= TERM_LETTERS:
                         of.append(i)
                         words.append(w)
-            if not words:
+            h = hashes(words)
+            wanted = _in_bitmap(shared.value, h)
+            if not wanted.any():
                 continue
-            d = pa.array(words).dictionary_encode()
-            word = d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            h, word = np.unique(h[wanted], return_inverse=True)
+            of = np.array(of)[wanted]
             doc = np.repeat(np.arange(b.num_rows), np.diff(t.offsets))
-            of = np.array(of)
             first = np.searchsorted(of, np.arange(len(t.unique) + 1))
             n = np.diff(first)[t.codes]
             kept = n > 0
             times = n[kept]
             at = np.repeat(first[t.codes[kept]] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            pair = np.unique(np.repeat(doc[kept], times) * len(d.dictionary) + word[at])
-            yield pa.RecordBatch.from_arrays([d.dictionary, pa.array(np.bincount(pair % len(d.dictionary), minlength=len(d.dictionary)))], names=["term", "df"])
+            pair = np.unique(np.repeat(doc[kept], times) * len(h) + word[at])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(pair % len(h), minlength=len(h)))], names=["h", "df"])
 
-    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "term string, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "h long, df long").groupBy("h").agg(F.sum("df").alias("df"))
 
 
 def disclosing(found: DataFrame, terms: DataFrame, docs: DataFrame, text: str, n_docs: int) -> DataFrame:
-    """(rid, term, at, share): the terms that reach GENERALISE for an entity of their text, with their places and the
-    largest share of an entity's information disclosed."""
+    """(rid, h, share): the terms that reach GENERALISE for an entity of their text, with the largest share of an entity's
+    information disclosed."""
     n = F.lit(float(n_docs))
     entities = found.select("rid", F.explode("entities").alias("entity"))
     entities = materialize(entities.join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity"), "pii-entities")
-    df = term_frequency(docs, text, terms.select("term"))
-    within = terms.groupBy("term").agg(F.count_if(F.size("at") == 0).alias("within"))
-    df = df.join(within, "term").select("term", (F.col("df") - F.col("within")).alias("df"))
+    df = term_frequency(docs, text, terms.select("h"))
+    within = terms.where(F.size("at") == 0).groupBy("h").agg(F.count("*").alias("within"))
+    df = df.join(within, "h", "left").select("h", (F.col("df") - F.coalesce("within", F.lit(0))).alias("df"))
     # joint is n_entity at most, so a term of more texts than this can't reach GENERALISE for any entity of the text
     most = entities.groupBy("rid").agg((F.max(n * F.pow(F.col("n_entity") / n, F.lit(GENERALISE))) * 1.000001).alias("most"))
-    rare = terms.where(F.size("at") > 0).join(df, "term").join(most, "rid").where(F.col("df") <= F.col("most")).select("rid", "term", "at", "df")
+    rare = terms.where(F.size("at") > 0).select("rid", "h").join(df, "h").join(most, "rid").where(F.col("df") <= F.col("most")).select("rid", "h", "df")
     pairs = materialize(rare.join(entities, "rid"), "pii-pairs")
     info = -F.log2(F.col("n_entity") / n)
     pmi = F.log2(F.col("joint") * n / (F.greatest("df", "joint") * F.col("n_entity")))
-    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("joint"), F.first("df").alias("df"), F.first("n_entity").alias("n_entity"))
-    told = joint.where(info > 0).withColumn("share", pmi / info).where(F.col("share") >= GENERALISE).select("entity", "term", "share")
-    return pairs.select("rid", "entity", "term", "at").join(told, ["entity", "term"]).groupBy("rid", "term").agg(F.first("at").alias("at"), F.max("share").alias("share"))
+    joint = pairs.groupBy("entity", "h").agg(F.count("*").alias("joint"), F.first("df").alias("df"), F.first("n_entity").alias("n_entity"))
+    told = joint.where(info > 0).withColumn("share", pmi / info).where(F.col("share") >= GENERALISE).select("entity", "h", "share")
+    out = materialize(pairs.select("rid", "entity", "h").join(told, ["entity", "h"]).groupBy("rid", "h").agg(F.max("share").alias("share")), "pii-told")
+    discard(entities, pairs)
+    return out
+
+
+def places(terms: DataFrame, told: DataFrame) -> DataFrame:
+    """told with n and at of its terms; a filter of fixed size keeps other terms from being moved."""
+    shared = terms.sparkSession.sparkContext.broadcast(_bitmap(told.select("h")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_in_bitmap(shared.value, b.column(1).to_numpy().view(np.uint64))))
+
+    return terms.mapInArrow(run, "rid long, h long, n int, at array<int>").join(told, ["rid", "h"])
 
 
 def joined(spans: Column) -> Column:
@@ -225,11 +254,11 @@ def joined(spans: Column) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, base, spans): base spans and all spans, sorted arrays of (at, kind, upto)."""
     every = materialize(find_base(docs, id_col, text), "pii-found")
-    found, terms = every.where("base is not null").select("rid", "id", "base", "entities"), every.where("term is not null").select("rid", "term", "at")
-    told = disclosing(found, terms, docs, text, found.count())
+    found, terms = every.where("base is not null").select("rid", "id", "base", "entities"), every.where("h is not null").select("rid", "h", "n", "at")
+    told = places(terms, disclosing(found, terms, docs, text, found.count()))
     kind = F.when(F.col("share") >= REMOVE, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise")))
     # a term that discloses two entities is one span, of the stronger kind
-    own = told.select("rid", kind.alias("kind"), F.length("term").alias("n"), F.explode("at").alias("at"))
+    own = told.select("rid", kind.alias("kind"), "n", F.explode("at").alias("at"))
     extra = own.groupBy("rid").agg(F.collect_list(F.struct("at", "kind", (F.col("at") + F.col("n")).alias("upto"))).alias("extra"))
     more = found.select("rid", "id", "base").join(extra, "rid", "left")
     return more.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast(_FOUND)))).alias("spans"))
