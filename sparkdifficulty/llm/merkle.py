@@ -124,13 +124,14 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     own = docs.select(F.col(f"`{id_col}`").alias("id"), value.alias("text"), F.xxhash64(F.lit(1), F.col(f"`{id_col}`"), value).alias("h"), F.xxhash64(value, F.col(f"`{id_col}`")).alias("g"))
     keys = order_of(own.groupBy("id", "h", "g").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies")))
-    sent = own.select("h", "g", "text").join(keys.where("copies = 1").select("h", "g", "ph", "pg", "pn"), ["h", "g"])
+    texts = own.select("h", "g", "text")  # the same columns both times, so that texts are moved once
+    columns = ["h", "g", "pid", "ph", "pg", "pn"]
+    sent = texts.join(keys.where("copies = 1").select(columns), ["h", "g"])
     more = keys.where("copies > 1")
     if more.limit(1).count():  # of rows equal in id and text one sends
-        again = own.select("h", "g", "text").join(more.select("h", "g", "ph", "pg", "pn"), ["h", "g"])
-        sent = sent.union(again.groupBy("h", "g", "ph", "pg", "pn").agg(F.min("text").alias("text")).select(*sent.columns))
-    once = sent.select("ph", "pg", F.expr("substring(text, 1, cast(pn div 2 as int))").alias("head"), fingerprint(F.col("text")).alias("next"))
-    return own.join(once.withColumnsRenamed({"ph": "h", "pg": "g"}), ["h", "g"]).select(F.col("id").alias(id_col), "text", "head", F.col("next").alias("next_fingerprint"))
+        sent = sent.union(texts.join(more.select(columns), ["h", "g"]).groupBy(columns).agg(F.min("text").alias("text")).select(*sent.columns))
+    once = sent.select("pid", F.col("ph").alias("h"), F.col("pg").alias("g"), F.expr("substring(text, 1, cast(pn div 2 as int))").alias("head"), fingerprint(F.col("text")).alias("next"))
+    return texts.join(once, ["h", "g"]).select(F.col("pid").alias(id_col), "text", "head", F.col("next").alias("next_fingerprint"))
 
 
 def compare_edits(pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
