@@ -15,7 +15,7 @@ SCALINGS = ("standard", "robust", "none")
 
 def doubles(values: list[float]) -> Column:
     """An array of constants that is one literal of the plan, however long."""
-    return F.split(F.lit(",".join(map(repr, map(float, values)))), ",").cast("array<double>")
+    return (F.split(F.lit(",".join(map(repr, map(float, values)))), ",") if len(values) else F.array()).cast("array<double>")
 
 
 def feature_stats(data: BinaryDataset, quartiles: bool = False) -> DataFrame:
