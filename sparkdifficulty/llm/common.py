@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, materialize, shared_dir
 
-__all__ = ["CHUNK_CHARS", "LETTERS", "Grams", "Tokens", "char_grams", "chunks", "crc_mod", "discard", "give_back", "hash_fraction", "letters_only", "load", "materialize", "mix64", "shared_dir", "tokens"]
+__all__ = ["CHUNK_CHARS", "LETTERS", "Grams", "Tokens", "char_grams", "chunks", "crc_mod", "discard", "give_back", "hash_fraction", "letters_only", "load", "map_rows", "materialize", "mix64", "shared_dir", "tokens"]
 
 #: Code points of one chunk of texts that a Python worker handles at once; a longer text is a chunk alone.
 CHUNK_CHARS = 1_000_000
@@ -27,6 +27,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_rows(docs: DataFrame, run: Callable, added: str, without: str | None = None) -> DataFrame:
+    """docs.mapInArrow(run) with the columns of `added` last and `without` gone; columns travel by place, so names may be any."""
+    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = [i for i, c in enumerate(docs.columns) if c != without]
+    types = [t for _, t in docs.dtypes]
+    out = named.mapInArrow(run, ", ".join([*[f"c{i} {types[i]}" for i in kept], added]))
+    return out.toDF(*[docs.columns[i] for i in kept], *out.columns[len(kept) :])
+
+
 def crc_mod(id_col: str | Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; null for a null id."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col

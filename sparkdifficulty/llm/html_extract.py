@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, map_rows
 
 #: Tags that end a block. Fixed values of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
@@ -300,5 +300,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
             keep = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*[b.schema.names[i] for i in keep], "text", "n_chars"])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in pages.dtypes if c != html)
-    return pages.mapInArrow(run, f"{schema}text string, n_chars long")
+    return map_rows(pages, run, "text string, n_chars long", html)

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Grams, Tokens, char_grams, chunks, hash_fraction, letters_only, tokens
+from .common import Grams, Tokens, char_grams, chunks, hash_fraction, letters_only, map_rows, tokens
 
 BITS = 16
 ORDERS = range(1, 5)
@@ -212,5 +212,4 @@ def identify(docs: DataFrame, model: LangModel, text: str = "text") -> DataFrame
             keep = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(names, pa.string()), pa.array(score), pa.array(spans.astype(np.int64))], names=[*[b.schema.names[i] for i in keep], "lang_pred", "score", "n_spans"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != text)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, n_spans long")
+    return map_rows(docs, run, "lang_pred string, score double, n_spans long", text)

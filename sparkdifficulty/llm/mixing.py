@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..preprocessing import doubles
 from .common import materialize
 
 #: frac(k * this) are the golden-ratio points.
@@ -27,6 +28,8 @@ BLOCK_WORDS = 4096
 LEAST_SLOTS = 512
 #: Points of the schedule in a run that is ranked by one task.
 RUN = 8192
+#: So many sources are broadcast at most; more are joined as any table.
+FEW_SOURCES = 10_000
 #: Rows of a source in one hash range of its shuffle, roughly.
 RANGE_ROWS = 2000
 
@@ -50,7 +53,8 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
         for s in over:
             out[s] = most * sizes[s]
         left -= sum(out[s] for s in over)
-        free = [s for s in free if s not in over]
+        gone = set(over)
+        free = [s for s in free if s not in gone]
     return out
 
 
@@ -69,24 +73,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     goal = targets(sizes)
     wanted = [goal[s] for s in goal if goal[s] > 0]
     block = max(1, min(block_words, int(min(wanted, default=1) / LEAST_SLOTS)))
-    plan = []
+    plan, rows_of = [], {r["src"]: r["rows"] for r in per}
     for i, s in enumerate(goal):
         blocks = -(-sizes[s] // block)
-        rows = next(r["rows"] for r in per if r["src"] == s)
+        rows = rows_of[s]
         plan.append((i, s, sizes[s], goal[s], blocks, goal[s] * blocks / sizes[s] if sizes[s] else 0.0, max(1, rows // RANGE_ROWS)))
     n_slots = round(sum(p[5] for p in plan))
-    sources = F.broadcast(spark.createDataFrame(plan, "k int, s string, source_size long, target double, blocks long, slots double, ranges int"))  # a row for each source
+    sources = spark.createDataFrame(plan, "k int, s string, source_size long, target double, blocks long, slots double, ranges int")  # a row for each source
+    if len(plan) <= FEW_SOURCES:
+        sources = F.broadcast(sources)
 
     # the schedule: points through cumulative shares, ranked per source by counts of earlier runs and within the run
-    share, ends = 0.0, []
+    share, ends, total = 0.0, [], max(sum(p[5] for p in plan), 1e-300)
     for p in plan:
-        share += p[5] / max(sum(q[5] for q in plan), 1e-300)
+        share += p[5] / total
         ends.append(share)
     last = max((i for i, p in enumerate(plan) if p[5] > 0), default=0)
     point = F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))
-    choose = F.lit(last)
-    for i in reversed([i for i, p in enumerate(plan) if p[5] > 0 and i != last]):
-        choose = F.when(point < ends[i], F.lit(i)).otherwise(choose)
+    # the source whose share the point falls in; the shares' ends are one literal of the plan, however many
+    choose = F.least(F.size(F.filter(doubles(ends), lambda e: e <= point)), F.lit(last))
     slots = spark.range(n_slots).select("id", F.floor(F.col("id") / RUN).alias("run"), choose.alias("k"))
     before = slots.groupBy("k", "run").count().withColumn("before", F.sum("count").over(Window.partitionBy("k").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)))
     rank = F.row_number().over(Window.partitionBy("run", "k").orderBy("id")) - 1

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, map_rows
 
 #: The marker that stands for a space.
 SPACE = "▁"
@@ -306,8 +306,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", threads: int =
             keep = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], ids, n, exact], names=[*[b.schema.names[i] for i in keep], "ids", "n_tokens", "exact"])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in docs.dtypes if c != text)
-    return docs.mapInArrow(run, f"{schema}ids array<int>, n_tokens long, exact boolean")
+    return map_rows(docs, run, "ids array<int>, n_tokens long, exact boolean", text)
 
 
 def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
@@ -326,5 +325,4 @@ def decode(encoded: DataFrame, model_file: str, ids: str = "ids") -> DataFrame:
             keep = [i for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], texts], names=[*[b.schema.names[i] for i in keep], "text"])
 
-    schema = "".join(f"`{c}` {t}, " for c, t in encoded.dtypes if c != ids)
-    return encoded.mapInArrow(run, f"{schema}text string")
+    return map_rows(encoded, run, "text string", ids)

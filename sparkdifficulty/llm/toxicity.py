@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, char_grams, chunks, hash_fraction, letters_only, materialize, tokens
+from .common import CHUNK_CHARS, char_grams, chunks, hash_fraction, letters_only, map_rows, materialize, tokens
 
 BITS = 18
 ORDERS = range(3, 7)
@@ -220,5 +220,4 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep_text:
             keep = [i for i in range(b.num_columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*[b.schema.names[i] for i in keep], "score", "predicted"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if keep_text or c != text)
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+    return map_rows(docs, run, "score double, predicted int", None if keep_text else text)

@@ -452,6 +452,12 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd).count() == 7 and mixing.mix(none).count() == 0
 
 
+def test_mixing_of_many_sources(spark):
+    rows = [(i, "one two three four", "", f"s{i % 1500}") for i in range(4500)]
+    got = mixing.mix(table(spark, rows)).collect()
+    assert len(got) == 4500 and sum(r["taken"] for r in got) == pytest.approx(18_000, rel=0.05) and all(r["taken"] <= 3 * r["size"] for r in got)
+
+
 def test_merkle(spark, odd, none):
     rows = [(1, "One. Two. Three.\nFour and more. Five.", "", ""), (2, "One. Two. Three.\nFour and more. Five.", "", ""), (3, "Other text here. Nothing shared.", "", ""), (4, None, "", "")]
     got = {r["doc_id"]: r for r in merkle.compare_edits(merkle.with_next(table(spark, rows))).collect()}
