@@ -55,7 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words; a part of a document counts as that chance of a copy."""
-    taken = mixing.mix(docs, keep_hash=True).where("taken > 0").groupBy("h").agg((F.sum("taken") / F.sum("size")).alias("times"))
+    taken = mixing.mix(docs, keep_hash=True).groupBy("h").agg((F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).alias("times"))
     copies = F.floor(F.col("times") + hash_fraction("h")).cast("int")
     chosen = taken.select("h", copies.alias("copies")).where("copies > 0")
     own = packed(docs, mixing.place_hash(F.col("doc_id"), F.col("text")).alias("h"))
