@@ -93,6 +93,22 @@ def test_positions_of_skewed_ids(spark, monkeypatch):
     assert got == {v: i for i, v in enumerate(ids)}
 
 
+def test_a_large_minority_is_kept_whole(spark, tmp_path):
+    from sparkdifficulty.plans import catalogue
+
+    pd.DataFrame({"o_orderkey": range(1, 9002), "o_orderstatus": ["P"] * 7000 + ["O"] * 2001, "o_totalprice": 1.0, "o_custkey": 1, "o_orderpriority": "1-URGENT"}).to_parquet(tmp_path / "orders.parquet")
+    got = catalogue.keep_minority_draw(spark, str(tmp_path)).toPandas()
+    assert sorted(got["row_id"]) == list(range(1, 7001)) and got["is_min"].all()  # as its SQL has it
+
+
+def test_a_minority_draw_by_size(spark):
+    rows = spark.range(-20, 80).select(F.col("id").alias("row_id"), (F.col("id") < 20).alias("is_min"))
+    others = sorted(range(20, 80), key=lambda i: (i * 2654435761 % 2**32, i))
+    for n_max, whole, few, want in ((50, False, 40, others[:10]), (50, True, 40, others[:10]), (40, True, 40, []), (30, True, 40, []), (30, False, 12, others[:18])):
+        got = {r["row_id"] for r in sub.keep_minority(rows, n_max, whole=whole).collect()}
+        assert len([i for i in got if i < 20]) == few and {i for i in got if i >= 20} == set(want)
+
+
 def test_records_are_checked():
     dims = [DimensionResult(f"D{i}", 0.5) for i in range(1, 8)]
     DifficultyScore(0.5, "High", (1 / 7,) * 7, dims)
