@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import time
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkdifficulty import BinaryDataset, DifficultyPipeline
 from sparkdifficulty.functions import scoring, stats
 from sparkdifficulty.operators import measures as m
+from sparkdifficulty.operators import neighbours
 from sparkdifficulty.operators.neighbours import nearest, tagged
 from sparkdifficulty.plans import subsampling as sub
 from sparkdifficulty.result import ComplexityProfile, DifficultyScore, DimensionResult
@@ -38,6 +40,50 @@ def test_neighbours_in_one_turn_or_many(spark, bytes_):
         assert [got[i] for i in range(150)] == brute(x, 4, ok)
 
 
+def short_list(x, y, ids, wants):
+    got = {}
+    for b in neighbours.found_in(neighbours.References(ids, x, y), ids, x, y, wants):
+        got |= {(r["row_id"], r["want"]): r["nbrs"] for r in b.to_pylist()}
+    return got
+
+
+@pytest.mark.parametrize("kind", ["plain", "copies", "offset", "tiny", "wide"])
+def test_short_lists_lose_nothing(kind, monkeypatch):
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(neighbours, "REF_ROWS", 50)
+    monkeypatch.setattr(neighbours, "FIRST", 9)
+    monkeypatch.setattr(neighbours, "PAIRS", 500)
+    x, y = rng.normal(size=(200, 4)), rng.integers(0, 3, 200)
+    x = {"plain": x, "copies": np.vstack([np.zeros((140, 4)), x[:60]]), "offset": np.round(x) * 1e-9 + 1e5, "tiny": x * 1e-30, "wide": x * np.exp(20 * rng.normal(size=(200, 1)))}[kind]
+    for tags in (y, np.arange(200) % 90):
+        got = short_list(x, tags, np.arange(200), [(5, "any"), (1, "same"), (2, "other")])
+        for w, (k, ok) in enumerate(((5, lambda i, j: True), (1, lambda i, j, t=tags: t[i] == t[j]), (2, lambda i, j, t=tags: t[i] != t[j]))):
+            assert [got[i, w] for i in range(200)] == brute(x, k, ok)
+
+
+def test_tree_of_groups_far_apart(spark):
+    x = np.round(np.vstack([np.random.default_rng(8).normal(c, 1, (60, 2)) for c in (0, 100, 250, 450)]), 1)  # more copies and rows than a list holds
+    x[:30] = 0
+    data = dataset(spark, x, [1] * 60 + [0] * 180)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    up, want = list(range(240)), set()
+    for i, j in sorted(((i, j) for i in range(240) for j in range(i + 1, 240)), key=lambda e: (d[e], *e)):
+        if up[i] != up[j]:
+            up = [up[i] if z == up[j] else z for z in up]
+            want.add((i, j))
+    for most in (1 << 26, 2000):
+        assert {(r["a"], r["b"]) for r in m.minimum_spanning_tree(data.rows, 64, most).collect()} == want
+    ends = {e for a, b in want if (a < 60) != (b < 60) for e in (a, b)}
+    assert m.n1(data) == len(ends) / 240 == m.n1(data, m.wanted(data).where("want = 0"))
+
+
+def test_a_tree_of_many_rows_in_time(spark):
+    rows = spark.range(16_000).select(F.col("id").alias("row_id"), F.array(*[F.randn(i) for i in range(48)]).alias("x")).persist()
+    began = time.perf_counter()
+    assert m.minimum_spanning_tree(rows).count() == 15_999
+    assert time.perf_counter() - began < 30
+
+
 def test_clusters_by_definition(spark):
     rng = np.random.default_rng(4)
     x = np.round(np.vstack([rng.normal(c, 0.3, (40, 2)) for c in ((0, 0), (3, 0), (0, 3))] + [rng.uniform(-3, 6, (30, 2))]), 1)
