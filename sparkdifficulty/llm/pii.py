@@ -245,6 +245,12 @@ def places(terms: DataFrame, told: DataFrame) -> DataFrame:
     return terms.mapInArrow(run, "rid long, h long, n int, at array<int>").join(told, ["rid", "h"])
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    """How many of the spans are of a kind, a place in KINDS."""
+    # the lambda takes the span alone: to a second parameter, default or not, Spark gives the span's place in the array
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of sorted (at, kind, upto) spans, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])

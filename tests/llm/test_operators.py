@@ -313,6 +313,38 @@ def test_pii(spark, odd, none):
     assert pii.find(odd).count() == 7 and pii.find(none).count() == 0
 
 
+def test_pii_query_by_the_patterns(spark, tmp_path):
+    """Counts of each kind and the digest, whatever kinds stand first, as the contract's patterns give them."""
+    import hashlib
+
+    from sparkdifficulty.llm import queries
+
+    kinds = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+    def keeps(kind, found):
+        n = re.sub(r"[^0-9]", "", found)
+        if kind == 1:
+            return all(int(x) <= 255 for x in found.split("."))
+        if kind == 2:
+            return 12 <= len(n) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(n))) % 10 == 0
+        return kind == 0 or 9 <= len(n) <= 15
+
+    parts = ["a.b@c.de", "x1%@mail-2.example.org", "10.0.0.1", "255.255.255.255", "1.2.3.256", "4111 1111 1111 1111", "4111-1111-1111-1112", "+49 (30) 1234-5678", "+1 2", "+4111111111111111", "é😀"]
+    rng = random.Random(5)
+    texts = [*parts, *[f"{p} {p}, {p}" for p in parts], *[rng.choice([" ", ", ", "", "\n"]).join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(60)]]
+    rows = [*enumerate(texts), (0, None), (0, ""), (None, texts[0]), (7, texts[7]), (7, texts[7])]
+    table(spark, [(i, t, "", "") for i, t in rows]).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, t in rows:
+        spans = sorted((m.start(), k, m.end()) for k, p in enumerate(kinds) for m in re.finditer(p, t or "") if keeps(k, m[0]))
+        digest = hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+        want.append((i, *[sum(k == kind for _, kind, _ in spans) for k in range(4)], digest))
+    got = queries.op6_pii(spark, str(tmp_path)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
+    assert [t for _, t in got.dtypes] == ["bigint"] * 5 + ["string"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert all(max(x[1 + k] for x in want) > 1 for k in range(4))
+
+
 def test_pii_entity_of_one_text(spark):
     rows = [(i, f"plain words number {i} about nothing at all", "", "") for i in range(40)]
     rows.append((100, "plain words about zanzibar from spy@nest.org", "", ""))
